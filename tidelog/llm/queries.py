@@ -11,12 +11,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring
+
+    return substring.deduplicate(documents(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    return secrets.scan(documents(spark, sf_dir))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import packing
+
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -25,10 +45,36 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_simhash": op3_simhash,
+        "op4_secret_scan": op4_secret_scan,
+        "op5_packing": op5_packing,
         "op10_language_id": op10_language_id,
     }
 
 
+#: The words of every text, their 50-word windows, and the windows that start in a smaller document.
+SUBSTRING = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h
+  FROM words, unnest(generate_series(1, len(w) - 49)) AS t(i) WHERE len(w) >= 50
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS low FROM windows) WHERE low < doc_id
+), starts AS (
+  SELECT doc_id, list(i) AS s FROM again GROUP BY doc_id
+), gone AS (
+  SELECT doc_id, list_distinct(flatten(list_transform(s, lambda a: generate_series(a, a + 49)))) AS g FROM starts
+), kept AS (
+  SELECT words.doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed,
+         CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END AS k
+  FROM words LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """op2 only: the others hash with XXH64, tokenise or learn, which SQL cannot express."""
+    return {"op2_substring_dedup": SUBSTRING}
