@@ -11,6 +11,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sketch
+
+    return sketch.versions(documents(spark, sf_dir))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substring
 
@@ -45,6 +51,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_paragraph_sketch": op1_paragraph_sketch,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_simhash": op3_simhash,
         "op4_secret_scan": op4_secret_scan,
