@@ -76,7 +76,7 @@ def from6(raw: bytes) -> np.ndarray:
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (((h >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)).astype(np.int64)
+    return (((h >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
 
 
 ANCHORS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
@@ -220,13 +220,21 @@ WINDOWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.bi
 PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
-def windows_of(words: list[bytes], anchors: np.ndarray, block: int, window: int) -> np.ndarray:
-    """Starts of the windows that hold an anchor."""
+def windows_of(words: list[bytes], anchors: np.ndarray, block: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows that hold an anchor, and the smallest hash of a run of ``block`` words in each.
+
+    Windows next to each other mostly share that hash, so that what is dealt out by it stays in few pieces.
+    """
     n = len(words) - window + 1
-    hit = np.isin(rolling(words, block) & MASK, anchors)
-    total = np.concatenate([[0], np.cumsum(hit)])
+    h = rolling(words, block)
+    total = np.concatenate([[0], np.cumsum(np.isin(h & MASK, anchors))])
     starts = np.arange(n)
-    return starts[total[starts + window - block + 1] > total[starts]]
+    low, size, runs = h, 1, window - block + 1
+    while size * 2 <= runs:
+        low, size = np.minimum(low[:-size], low[size:]), size * 2
+    low = np.minimum(low[:n], low[runs - size : runs - size + n])
+    some = total[starts + runs] > total[starts]
+    return starts[some], low[some]
 
 
 def window_rows(stream, block: int, window: int, buckets: int):
@@ -235,13 +243,13 @@ def window_rows(stream, block: int, window: int, buckets: int):
     size = 0
 
     def flush():
-        digests, ids, texts, starts = (np.concatenate(x) for x in zip(*held, strict=True))
+        digests, ids, texts, starts, dealt = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((ids, digests["b"], digests["a"]))
-        digests, ids, texts, starts = digests[order], ids[order], texts[order], starts[order]
+        digests, ids, texts, starts, dealt = digests[order], ids[order], texts[order], starts[order], dealt[order]
         first = np.concatenate([[True], digests[1:] != digests[:-1]])
         low = ids[first][np.cumsum(first) - 1]
         rows = {f.name: [] for f in WINDOWS}
-        where = bucket_of(digests["a"], buckets)
+        where = bucket_of(common.mix(dealt), buckets)
         for kind, some in ((1, ids > low), (0, ids == low)):
             # of the smallest document's windows all ask: each of its rows and places may be removed
             at = np.flatnonzero(some)
@@ -265,7 +273,7 @@ def window_rows(stream, block: int, window: int, buckets: int):
             words = split_words(text.as_py())
             if len(words) < window:
                 continue
-            starts = windows_of(words, from6(b"".join(hits)), block, window)
+            starts, least = windows_of(words, from6(b"".join(hits)), block, window)
             line = b" ".join(words)
             ends = np.cumsum([len(w) + 1 for w in words]) - 1
             begins = np.concatenate([[0], ends[:-1] + 1])
@@ -273,7 +281,7 @@ def window_rows(stream, block: int, window: int, buckets: int):
                 part = starts[at : at + FLUSH // 4]
                 digest = xxhash.xxh3_128_digest
                 d = np.frombuffer(b"".join([digest(line[a:b]) for a, b in zip(begins[part].tolist(), ends[part + window - 1].tolist(), strict=True)]), PAIR)
-                held.append((d, np.full(len(d), key, np.int64), np.full(len(d), mark, np.int64), part))
+                held.append((d, np.full(len(d), key, np.int64), np.full(len(d), mark, np.int64), part, least[at : at + FLUSH // 4]))
                 size += len(d)
                 if size >= FLUSH // 4:
                     yield flush()
