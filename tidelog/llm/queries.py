@@ -43,6 +43,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    return media.columns(documents(spark, sf_dir))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -56,6 +68,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_secret_scan": op4_secret_scan,
         "op5_packing": op5_packing,
+        "op8_media_columns": op8_media_columns,
+        "op9_warc": op9_warc,
         "op10_language_id": op10_language_id,
     }
 
@@ -82,6 +96,19 @@ SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha25
 """
 
 
+#: Equal payloads are equal html.
+WARC = """
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+FROM (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+         sha1(coalesce(html, '')) AS payload_digest, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last_id
+  FROM pages
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """op2 only: the others hash with XXH64, tokenise or learn, which SQL cannot express."""
-    return {"op2_substring_dedup": SUBSTRING}
+    """The other operators hash with XXH64, tokenise, draw or learn, which SQL cannot express."""
+    return {"op2_substring_dedup": SUBSTRING, "op9_warc": WARC}
