@@ -43,6 +43,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import pieces
+
+    return pieces.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
@@ -68,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_secret_scan": op4_secret_scan,
         "op5_packing": op5_packing,
+        "op7_pieces": op7_pieces,
         "op8_media_columns": op8_media_columns,
         "op9_warc": op9_warc,
         "op10_language_id": op10_language_id,
