@@ -60,6 +60,13 @@ def test_documents_fill_their_sequences(spark, sf_dir):
         assert bins <= least + most
 
 
+def test_words_take_the_same_ids_as_whole_texts():
+    whole, words = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json")), packing.WordEncoder(P.path("word_bpe_49k.json"))
+    every = [chr(c) for c in [*range(33, 1300), 0x1E9E, 0x212A, 0x17F, 0x3A3, 0xFB01, 0x1F600, 0x4E2D, 0xA0, 0x2028, 0x301]]
+    for text in [*every, *[f"Ab{c}cD" for c in every], *[f"É{c}'S9{c}{c}'ll" for c in every], "don't we'LL 'tis x'", "A\u0301 é\u0301", "<|endoftext|>é", "İi"]:
+        assert words.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
 def test_genetic_search_improves_on_best_fit():
     rng = np.random.default_rng(3)
     lengths = []

@@ -16,7 +16,9 @@ gives an empty result.
 
 from __future__ import annotations
 
+import array
 import os
+import re
 import zlib
 
 import numpy as np
@@ -30,63 +32,79 @@ from . import common
 END = 0
 #: Texts are tokenised in parts of about so many characters, cut at white space.
 PART = 1 << 20
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 CACHED_LENGTH = 64
+#: Words of printable ASCII and Latin-1 letters, and the pre-tokens of the vocabulary file for them in lower case.
+PLAIN = r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*"
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long"
 
 
-class WordEncoder:
-    """Token ids of a text, as little-endian 32-bit integers.
+def latin_bytes() -> dict[int, str]:
+    """Letters of Latin-1 as the byte-level alphabet writes their two UTF-8 bytes."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
+    return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+class WordEncoder(dict):
+    """Token ids of texts, as little-endian 32-bit integers: a dictionary from words to ids.
 
     The tokenizer's pre-tokens never span white space, so that a text's ids are its
-    words' ids in a row; words seen before come from a cache of bounded size.
+    words' ids in a row; words seen before are kept while there is room.  A new word of
+    ASCII and Latin-1 letters goes straight to the merge model, after the lower-casing and
+    splitting that the vocabulary file asks for; any other takes the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merge, self.split = self.tokenizer.model.tokenize, re.compile(PRETOKENS).findall
+        self.plain, self.latin = re.compile(PLAIN).fullmatch, latin_bytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if self.plain(word) and "<|" not in word:
+            parts = self.split(word.lower())
+            if not word.isascii():
+                parts = [p.translate(self.latin) for p in parts]
+            ids = [t.id for p in parts for t in self.merge(p)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        raw = array.array("I", ids).tobytes()
+        if len(self) < CACHED_WORDS and len(word) <= CACHED_LENGTH:
+            self[word] = raw
+        return raw
 
     def encode(self, part: str) -> bytes:
-        words = part.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        missing = [w for w in dict.fromkeys(words) if w not in cache]
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        own = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, found, strict=True)}
-        cache.update((w, b) for w, b in own.items() if len(w) <= CACHED_LENGTH)
-        return b"".join([own[w] if w in own else cache[w] for w in words])
+        if "<|" not in part and part == part.encode("latin-1", "ignore").decode("latin-1"):
+            part = part.lower()  # letter by letter here, as the tokenizer does it; fewer words to learn
+        return b"".join(map(self.__getitem__, part.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
     def parts(self, text: str):
+        """(ids of a part, is the last part) of a text."""
         at = 0
-        while at < len(text):
+        while True:
             end = len(text) if at + PART >= len(text) else text.find(" ", at + PART)
             end = len(text) if end < 0 else end
-            yield self.encode(text[at:end])
+            yield self.encode(text[at:end]), end == len(text)
             at = end
+            if at == len(text):
+                return
 
 
 def cut(parts, capacity: int):
-    """(start, length, crc32) of a document's pieces; the end token is its last id."""
+    """(start, length, crc32) of a document's pieces, from its ids part by part; the end token is its last id."""
     held, start, size = b"", 0, 4 * capacity
-    for part in parts:
-        held += part
+    for part, last in parts:
+        held += part + (END.to_bytes(4, "little") if last else b"")
         at = 0
-        while len(held) - at > size:  # the end token is still to come
-            yield start, capacity, zlib.crc32(held[at : at + size])
+        while len(held) - at > size or last and at < len(held):
+            piece = held[at : at + size]
+            yield start, len(piece) // 4, zlib.crc32(piece)
             start, at = start + capacity, at + size
         held = held[at:]
-    held += END.to_bytes(4, "little")
-    for at in range(0, len(held), size):
-        piece = held[at : at + size]
-        yield start, len(piece) // 4, zlib.crc32(piece)
-        start += capacity
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -96,8 +114,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, doc_id: str = "doc_id
         encoder, counter = WordEncoder(tokenizer), TaskContext.get().partitionId() << 36
         for batch in stream:
             out = {f.name: [] for f in schema}
-            for ident, body in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                for piece, (start, length, crc) in enumerate(cut(encoder.parts(body.as_py() or ""), capacity)):
+            for ident, text_ in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                for piece, (start, length, crc) in enumerate(cut(encoder.parts(text_.as_py() or ""), capacity)):
                     for name, value in zip(schema.names, (ident, piece, start, length, crc, counter), strict=True):
                         out[name].append(value)
                     counter += 1
