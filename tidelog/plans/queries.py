@@ -1,19 +1,344 @@
-"""The registry of the library's queries over the driver's tables."""
+"""The registry of the library's queries over the driver's tables, with the SQL each one must equal.
+
+Every ordering query puts out its positions, so that the order itself is compared.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import keys
+from ..operators import ordering, streams
+from ..operators.archive import ArchiveView
+from ..operators.kv import SortedTable
+from ..sources import tables
+from ..sources.archive_store import Archive, ArchiveWriter
+from ..streaming import linker
+
+REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
+def query(sql: str):
+    def register(function):
+        REGISTRY[function.__name__] = (function, sql)
+        return function
+
+    return register
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(root or 'file://' + tempfile.mkdtemp()).rstrip('/')}/tidelog/{tag}-{uuid.uuid4().hex}"
+
+
+EVENTS = """SELECT CAST(user_id AS VARCHAR) AS space, event_type AS "grouping", CAST(floor(epoch(ts)) AS BIGINT) AS ts,
+  event_id + 1 AS seq, props AS data, event_type, user_id FROM events"""
+ORDERS = """SELECT o_orderpriority AS space, o_orderstatus AS "grouping", CAST(floor(epoch(o_orderdate)) AS BIGINT) AS ts,
+  o_orderkey AS seq, CAST(o_custkey AS VARCHAR) AS data FROM orders"""
+TYPES = """SELECT event_type AS space, '' AS "grouping", CAST(floor(epoch(date_trunc('hour', ts))) AS BIGINT) AS ts,
+  event_id + 1 AS seq, props AS data, CAST(user_id AS VARCHAR) AS usr FROM events"""
+LOG = """SELECT event_id + 1 AS seq, 'type:' || event_type AS index_key, props AS data FROM events
+  UNION ALL SELECT event_id + 1, 'user:' || CAST(user_id AS VARCHAR), props FROM events"""
+SCAN = "row_number() OVER (PARTITION BY space, \"grouping\" ORDER BY ts DESC, seq)"
+
+
+# Catalog
+
+
+@query("SELECT space, row_number() OVER (ORDER BY space) AS pos FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS space FROM events)")
+def space_list(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    # as many rows as there are spaces; numbered within ranges of the first letters
+    spaces = ArchiveView(tables.events_by_user(spark, sf_dir)).spaces().withColumn("head", F.substring("space", 1, 1))
+    before = spaces.groupBy("head").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return spaces.join(before, "head").select("space", (F.col("base") + F.row_number().over(Window.partitionBy("head").orderBy("space"))).alias("pos"))
+
+
+@query(f"SELECT count(*) AS n, min(ts) AS oldest, max(ts) AS newest FROM ({EVENTS}) WHERE user_id = 8")
+def space_find(spark, sf_dir):
+    return ArchiveView(tables.events_by_user(spark, sf_dir)).space("8").events.agg(F.count("*").alias("n"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
+
+
+@query('SELECT "grouping", row_number() OVER (ORDER BY "grouping") AS pos FROM (SELECT DISTINCT event_type AS "grouping" FROM events WHERE user_id = 8)')
+def grouping_list(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    found = ArchiveView(tables.events_by_user(spark, sf_dir)).space("8")
+    return found.events.select("space", "grouping").distinct().select("grouping", F.row_number().over(Window.partitionBy("space").orderBy("grouping")).cast("bigint").alias("pos"))
+
+
+@query("SELECT name FROM (VALUES ('all'), ('type')) AS t(name) WHERE EXISTS (SELECT 1 FROM events WHERE user_id = 8)")
+def index_list(spark, sf_dir):
+    return ArchiveView(tables.events_by_user(spark, sf_dir)).space("8").index_names()
+
+
+# Archive scans
+
+
+def placed(rows: DataFrame, ascending: bool = False) -> DataFrame:
+    return ordering.scan_positions(rows, ["space", "grouping"], ascending).select("space", "grouping", "ts", "seq", "data", "pos")
+
+
+@query(f"SELECT space, \"grouping\", ts, seq, data, {SCAN} AS pos FROM ({EVENTS}) WHERE user_id = 8 AND \"grouping\" = 'click'")
+def archive_scan(spark, sf_dir):
+    return placed(ArchiveView(tables.events_by_user(spark, sf_dir)).space("8").scan("click"))
+
+
+@query(f'SELECT space, "grouping", ts, seq, data, {SCAN} AS pos FROM ({EVENTS})')
+def archive_scan_all(spark, sf_dir):
+    return placed(tables.events_by_user(spark, sf_dir))
+
+
+@query(f'SELECT space, "grouping", ts, seq, data, {SCAN} AS pos FROM ({ORDERS})')
+def archive_scan_ties(spark, sf_dir):
+    return placed(tables.orders(spark, sf_dir))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n")
+def archive_scan_missing(spark, sf_dir):
+    view = ArchiveView(tables.events_by_user(spark, sf_dir))
+    return view.space("no such space").scan("click").unionByName(view.space("8").scan("no such grouping")).agg(F.count("*").alias("n"))
+
+
+def placed_index(rows: DataFrame, ascending: bool = False) -> DataFrame:
+    return ordering.scan_positions(rows, ["space", "index_key"], ascending).select("space", "index_key", "ts", "seq", "grouping", "data", "pos")
+
+
+@query(f"""SELECT space, 'user:8' AS index_key, ts, seq, "grouping", data, row_number() OVER (ORDER BY ts DESC, seq) AS pos FROM ({TYPES}) WHERE space = 'click' AND usr = '8'""")
+def archive_scan_index(spark, sf_dir):
+    return placed_index(ArchiveView(tables.events_by_type(spark, sf_dir)).space("click").scan_index("user", "8"))
+
+
+@query(f"""SELECT space, 'user:8' AS index_key, ts, seq, "grouping", data, row_number() OVER (ORDER BY ts, seq DESC) AS pos FROM ({TYPES}) WHERE space = 'click' AND usr = '8'""")
+def archive_scan_index_rev(spark, sf_dir):
+    return placed_index(ArchiveView(tables.events_by_type(spark, sf_dir)).space("click").scan_index("user", "8", ascending=True), True)
+
+
+@query(f"""SELECT space, 'all:' AS index_key, ts, seq, "grouping", data, row_number() OVER (ORDER BY ts DESC, seq) AS pos FROM ({EVENTS}) WHERE user_id = 8""")
+def archive_scan_space(spark, sf_dir):
+    return placed_index(ArchiveView(tables.events_by_user(spark, sf_dir)).space("8").scan_index("all", ""))
+
+
+@query(f"SELECT * FROM (SELECT space, ts, seq, data, row_number() OVER (ORDER BY ts DESC, seq) AS pos FROM ({TYPES}) WHERE space = 'click') WHERE pos <= 500")
+def archive_scan_limit(spark, sf_dir):
+    found = ArchiveView(tables.events_by_type(spark, sf_dir)).space("click").scan("", limit=500)
+    return placed(found).select("space", "ts", "seq", "data", "pos")
+
+
+def top(k: int) -> str:
+    return f'SELECT * FROM (SELECT space, "grouping", ts, seq, data, {SCAN} AS pos FROM ({ORDERS})) WHERE pos <= {k}'
+
+
+@query(top(1))
+def archive_first_per_grouping(spark, sf_dir):
+    return ordering.top_k(tables.orders(spark, sf_dir), ["space", "grouping"], 1).drop("indexes")
+
+
+@query(f"SELECT * FROM (SELECT space, ts, seq, data, row_number() OVER (PARTITION BY space ORDER BY ts DESC, seq) AS pos FROM ({ORDERS})) WHERE pos <= 3")
+def archive_topk_per_space(spark, sf_dir):
+    return ordering.top_k(tables.orders(spark, sf_dir), ["space"], 3).select("space", "ts", "seq", "data", "pos")
+
+
+@query(f"""SELECT space, "grouping", ts, seq, data, pos FROM (SELECT *, coalesce(sum(CASE WHEN seq % 50 = 0 THEN 1 ELSE 0 END) OVER
+  (PARTITION BY space, "grouping" ORDER BY ts DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stops, {SCAN} AS pos FROM ({ORDERS})) WHERE stops = 0""")
+def archive_take_while(spark, sf_dir):
+    return ordering.take_while(tables.orders(spark, sf_dir), ["space", "grouping"], F.col("seq") % 50 == 0).drop("indexes")
+
+
+@query(f"""SELECT space, "grouping", ts, seq, data FROM (SELECT *, sum(CASE WHEN seq % 50 = 0 THEN 1 ELSE 0 END) OVER
+  (PARTITION BY space, "grouping" ORDER BY ts DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stops FROM ({ORDERS})) WHERE stops = 0""")
+def archive_terminator_compat(spark, sf_dir):
+    rows = tables.orders(spark, sf_dir).withColumn("data", F.when(F.col("seq") % 50 == 0, F.lit("")).otherwise(F.col("data")))
+    return ordering.until_empty(rows, ["space", "grouping"]).select("space", "grouping", "ts", "seq", "data")
+
+
+@query("SELECT event_id + 1 AS seq, (CAST(floor(epoch(ts)) AS BIGINT) - 3000000000) & 4294967295 AS ts FROM events")
+def archive_ts_u32(spark, sf_dir):
+    return tables.events_by_user(spark, sf_dir).select("seq", keys.unsigned_32(F.col("ts") - 3000000000).alias("ts"))
+
+
+def stored(spark: SparkSession, events: DataFrame) -> Archive:
+    path = scratch(spark, "archive")
+    writer = ArchiveWriter(spark, path)
+    writer.add(events)
+    writer.write()
+    return Archive.open(spark, path)
+
+
+@query(f'SELECT space, "grouping", ts, seq, data, {SCAN} AS pos FROM ({EVENTS}) WHERE user_id IN (7, 8)')
+def archive_roundtrip(spark, sf_dir):
+    archive = stored(spark, tables.events_by_user(spark, sf_dir))
+    return placed(archive.space("7").events.unionByName(archive.space("8").events))
+
+
+@query(f"""SELECT space, 'type:click' AS index_key, ts, seq, "grouping", data, row_number() OVER (ORDER BY ts DESC, seq) AS pos FROM ({EVENTS}) WHERE user_id = 8 AND event_type = 'click'""")
+def archive_roundtrip_index(spark, sf_dir):
+    return placed_index(stored(spark, tables.events_by_user(spark, sf_dir)).space("8").scan_index("type", "click"))
+
+
+@query("SELECT event_id + 1 AS seq, CAST(2 AS BIGINT) AS listed, CAST(1 AS BIGINT) AS linked FROM events")
+def index_key_collision(spark, sf_dir):
+    both = F.create_map(F.lit("a:b"), F.lit("c"), F.lit("a"), F.lit("b:c"))
+    log = tables.event_log(spark, sf_dir).withColumn("indexes", both)
+    counted = log.select("seq", F.size(keys.index_keys(F.col("indexes"))).cast("bigint").alias("listed"))
+    linked = streams.entries(log).groupBy("seq").agg(F.count("*").alias("linked"))
+    return counted.join(linked, "seq")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS space, 'type:' || event_type AS index_key, event_id + 1 AS seq, event_type AS "grouping" FROM events
+  UNION ALL SELECT CAST(user_id AS VARCHAR), 'all:', event_id + 1, event_type FROM events""")
+def postings(spark, sf_dir):
+    return ArchiveView(tables.events_by_user(spark, sf_dir)).postings.select("space", "index_key", "seq", "grouping")
+
+
+# Streams
+
+
+@query("SELECT event_id + 1 AS seq, props AS data, row_number() OVER (ORDER BY event_id) AS pos FROM events")
+def stream_iterate(spark, sf_dir):
+    return ordering.positions(streams.iterate(tables.event_log(spark, sf_dir)), ["stream"], "seq", [F.asc("seq")], False).select("seq", "data", "pos")
+
+
+@query("SELECT event_id + 1 AS seq, event_id - 298 AS pos, CAST(350 AS BIGINT) AS cursor FROM events WHERE event_id BETWEEN 299 AND 348")
+def stream_iterate_resume(spark, sf_dir):
+    got = streams.iterate(tables.event_log(spark, sf_dir), 300, 50)
+    pos = ordering.positions(got, ["stream"], "seq", [F.asc("seq")], False).select("seq", "pos")
+    return pos.crossJoin(F.broadcast(streams.next_cursor(got, 300)))  # one row
+
+
+@query(f"SELECT index_key, max(seq) AS tail FROM ({LOG}) GROUP BY index_key")
+def stream_first(spark, sf_dir):
+    return streams.tails(tables.event_log(spark, sf_dir)).select("index_key", "tail")
+
+
+NEXT = f"SELECT seq, index_key, coalesce(lag(seq) OVER (PARTITION BY index_key ORDER BY seq), 0) AS prev FROM ({LOG})"
+
+
+@query(NEXT)
+def stream_next(spark, sf_dir):
+    return streams.links(tables.event_log(spark, sf_dir)).select("seq", "index_key", "prev")
+
+
+@query("SELECT event_id + 1 AS seq, props AS data, row_number() OVER (ORDER BY event_id DESC) AS pos FROM events WHERE event_type = 'click'")
+def stream_scan_index(spark, sf_dir):
+    found = streams.scan_index(tables.event_log(spark, sf_dir), "type", "click")
+    return ordering.positions(found, ["stream"], "seq", [F.desc("seq")], True).select("seq", "data", "pos")
+
+
+@query("""WITH c AS (SELECT event_id + 1 AS seq FROM events WHERE event_type = 'click' AND event_id + 1 <= 800),
+  d AS (SELECT seq, row_number() OVER (ORDER BY seq DESC) AS pos FROM c)
+  SELECT seq, pos, (SELECT coalesce(max(seq), 0) FROM d WHERE pos > 20) AS cursor FROM d WHERE pos <= 20""")
+def stream_scan_index_resume(spark, sf_dir):
+    log = tables.event_log(spark, sf_dir)
+    got = streams.scan_index(log, "type", "click", 800, 20)
+    pos = ordering.positions(got, ["stream"], "seq", [F.desc("seq")], True).select("seq", "pos")
+    last = got.agg(F.min("seq").alias("last"))  # one row
+    older = streams.links(log).where("index_key = 'type:click'").join(F.broadcast(last), F.col("seq") == F.col("last")).select(F.col("prev").alias("cursor"))
+    return pos.crossJoin(F.broadcast(older))
+
+
+@query("SELECT max(event_id) + 2 AS cursor FROM events")
+def stream_offset(spark, sf_dir):
+    return streams.next_cursor(tables.event_log(spark, sf_dir), 0)
+
+
+MERGED = """SELECT row_number() OVER (ORDER BY part, event_id) AS seq, props AS data, event_type, user_id FROM
+  (SELECT *, CASE WHEN event_id >= 600 THEN 0 ELSE 1 END AS part FROM events)"""
+
+
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = tables.event_log(spark, sf_dir)
+    late = log.where("seq > 600").withColumn("seq", F.col("seq") - 600)
+    return streams.merge([late, log.where("seq <= 600")], "merged")
+
+
+@query(f"SELECT seq, data FROM ({MERGED})")
+def stream_merge(spark, sf_dir):
+    return merged(spark, sf_dir).select("seq", "data")
+
+
+@query(f"SELECT seq, lag(seq, 1, 0) OVER (ORDER BY seq) AS prev, row_number() OVER (ORDER BY seq DESC) AS pos FROM ({MERGED}) WHERE user_id = 8")
+def stream_merge_scan_index(spark, sf_dir):
+    log = merged(spark, sf_dir)
+    chain = streams.links(log).where("index_key = 'user:8'")
+    return ordering.positions(chain, ["stream"], "seq", [F.desc("seq")], True).select("seq", "prev", "pos")
+
+
+@query("""SELECT event_id + 1 AS seq, 'a' AS name, 'b:' || event_type AS value FROM events
+  UNION ALL SELECT event_id + 1, 'user', CAST(user_id AS VARCHAR) FROM events""")
+def stream_indexes(spark, sf_dir):
+    own = tables.table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("seq"), F.array(F.concat(F.lit("a:b:"), "event_type"), F.concat(F.lit("user:"), F.col("user_id").cast("string"))).alias("keys"))
+    return own.select("seq", F.explode(keys.indexes_of(F.col("keys"))).alias("name", "value"))
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS stream, turn + 1 AS seq, 'role:' || role AS index_key,
+  coalesce(lag(turn + 1) OVER (PARTITION BY conv_id, role ORDER BY turn), 0) AS prev FROM conversations""")
+def stream_conv_chain(spark, sf_dir):
+    return streams.links(tables.conversation_logs(spark, sf_dir)).select("stream", "seq", "index_key", "prev")
+
+
+def log_files(spark: SparkSession, sf_dir: str, parts: int = 3) -> tuple[str, DataFrame]:
+    """The event log as files in sequence order."""
+    path, log = scratch(spark, "log"), tables.event_log(spark, sf_dir)
+    n = log.agg(F.max("seq")).first()[0]
+    for k in range(parts):
+        some = log.where((F.col("seq") > n * k // parts) & (F.col("seq") <= n * (k + 1) // parts))
+        some.coalesce(1).write.mode("append").parquet(path)
+    return path, log
+
+
+@query(f"SELECT index_key, max(seq) AS tail FROM ({LOG}) GROUP BY index_key")
+def stream_tails_streaming(spark, sf_dir):
+    path, log = log_files(spark, sf_dir)
+    name = f"tails_{uuid.uuid4().hex}"
+    linker.tails_query(linker.read_log(spark, path, log.schema), name, scratch(spark, "checkpoint")).awaitTermination()
+    return spark.table(name).select("index_key", "tail")
+
+
+@query(NEXT)
+def stream_append_streaming(spark, sf_dir):
+    path, log = log_files(spark, sf_dir)
+    target = scratch(spark, "linked")
+    linker.link_batches(linker.read_log(spark, path, log.schema), target, scratch(spark, "checkpoint")).awaitTermination()
+    return linker.links(spark, target).select("seq", "index_key", "prev")
+
+
+# Sorted tables and CSV
+
+
+def customers(spark: SparkSession, sf_dir: str) -> SortedTable:
+    return SortedTable(tables.table(spark, sf_dir, "customer").select(F.col("c_name").alias("key"), F.col("c_custkey").alias("value")))
+
+
+@query("SELECT c_name AS key, c_custkey AS value FROM customer WHERE c_name = (SELECT min(c_name) FROM customer)")
+def kv_get(spark, sf_dir):
+    table = customers(spark, sf_dir)
+    return table.lookup(table.rows.agg(F.min("key")).first()[0])
+
+
+@query("SELECT c_name AS key, c_custkey AS value FROM customer WHERE c_name >= 'Customer#000000050'")
+def kv_find(spark, sf_dir):
+    return customers(spark, sf_dir).find("Customer#000000050")
 
 
-def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+@query("SELECT event_type AS type, CAST(user_id AS VARCHAR) AS host, 'x, \"y\"' AS city, CAST(event_id AS VARCHAR) AS visitor, CAST(floor(epoch(ts)) AS BIGINT) AS timestamp FROM events")
+def csv_load(spark, sf_dir):
+    path, e = scratch(spark, "csv"), tables.table(spark, sf_dir, "events")
+    visits = e.select("event_type", F.col("user_id").cast("string"), F.lit('x, "y"'), F.col("event_id").cast("string"), tables.epoch(F.col("ts")))
+    visits.write.csv(path, escape='"')
+    return spark.read.schema(tables.VISIT).option("escape", '"').csv(path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: function for name, (function, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items()}
