@@ -118,20 +118,24 @@ class ShardWriter:
             self.out = None
 
 
-def store(docs: DataFrame, text: str = "text") -> DataFrame:
-    """digest, shard, offset, length: where each distinct payload is stored."""
+def store(docs: DataFrame, text: str = "text", passes: int = 2) -> DataFrame:
+    """digest, shard, offset, length: where each distinct payload is stored.
+
+    The images go to their shards in ``passes`` rounds by digest, so that a round's
+    shuffle files are gone before the next one's are written.
+    """
     spark = docs.sparkSession
     folder = common.new_path(spark, "media")
     images = pa.schema([("digest", pa.string()), ("image", pa.binary())])
     places = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
-    def draw(stream):
+    def draw(stream, k):
         for batch in stream:
             seen, out, size = set(), {f.name: [] for f in images}, 0
             for body in batch["text"]:
                 payload = padded(body.as_py())
                 digest = hashlib.sha256(payload).digest()
-                if digest in seen:
+                if digest in seen or digest[-1] % passes != k:
                     continue
                 seen.add(digest)
                 out["digest"].append(digest.hex())
@@ -156,9 +160,12 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
         writer.close()  # rows leave only when their shards are complete
         yield common.batches(out, places)
 
-    drawn = docs.select(common.text_column(docs, text).alias("text")).mapInArrow(draw, "digest string, image binary")
-    dealt = drawn.repartition(common.partitions(spark), "digest").sortWithinPartitions("digest")
-    index = common.materialize(dealt.mapInArrow(write, INDEX), "media-index")
+    index = None
+    for k in range(passes):
+        drawn = docs.select(common.text_column(docs, text).alias("text")).mapInArrow(lambda stream, k=k: draw(stream, k), "digest string, image binary")
+        dealt = drawn.repartition(common.partitions(spark), "digest").sortWithinPartitions("digest")
+        part = common.materialize(dealt.mapInArrow(write, INDEX), f"media-index-{k}")
+        index = part if index is None else index.unionByName(part)
     index.media_folder = folder
     return index
 
