@@ -21,7 +21,7 @@ def best(marked):
 
 
 def total(ids):
-    scores = {i: s for s, i in V.score.values()}
+    scores = {i: s for s, i, _ in V.score.values()}
     return sum(scores.get(i, 0) for i in np.frombuffer(ids, "<u4").tolist())
 
 
@@ -94,3 +94,9 @@ def test_words_match_brute_force_and_the_library():
         assert total(ids) == brute(pieces.mark(word))
         assert total(np.array(library.encode(word), "<u4").tobytes()) == total(ids)
         assert library.decode(np.frombuffer(ids, "<u4").tolist()) == word
+
+
+def test_encode_then_decode(spark):
+    encoded = pieces.encode(table(spark, ODD), PATH, chunk=100)
+    got = sorted((repr(r["doc_id"]), r["text"]) for r in rows_of(pieces.decode(encoded, PATH)))
+    assert got == sorted((repr(i), (t or "").replace("▁", " ")) for i, t in ODD)

@@ -38,7 +38,9 @@ from . import common
 MARK = "▁"
 NORMAL, BYTE = 1, 6
 NEVER = -(2**60)
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
+#: Documents that a task hands on at a time.
+ROWS_AT_ONCE = 256
 CACHED_LENGTH = 64
 
 
@@ -70,7 +72,7 @@ class Vocabulary(dict):
     def __init__(self, path: str):
         with open(path, "rb") as f:
             raw = f.read()
-        self.score: dict[str, tuple[int, int]] = {}
+        self.score: dict[str, tuple] = {}
         self.bytes: dict[int, int] = {}
         self.shown: list[bytes] = []
         for n, value in message(raw):
@@ -88,6 +90,7 @@ class Vocabulary(dict):
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece spans a word start")
         self.begins = {p[:n] for p in self.score for n in range(1, len(p))}
+        self.score = {p: (*found, p in self.begins) for p, found in self.score.items()}  # score, id, whether longer pieces go on
 
     def tokens(self, text: str, at: int):
         """(length, score) of the tokens that may start at a place; a character without a piece is one token of score 0."""
@@ -114,18 +117,20 @@ class Vocabulary(dict):
                     best[end], back[end] = total, at
         return best, back
 
-    def trace(self, text: str, start: int, end: int, back: dict[int, int]) -> bytes:
-        cuts = [end]
-        while cuts[-1] > start:
-            cuts.append(back[cuts[-1]])
-        ids = array.array("I")
-        for a, b in zip(cuts[:0:-1], cuts[-2::-1], strict=True):
-            found = self.score.get(text[a:b])
+    def trace(self, text: str, start: int, end: int, back) -> bytes:
+        parts = []
+        while end > start:
+            at = back[end]
+            parts.append(text[at:end])
+            end = at
+        ids = []
+        for part in reversed(parts):
+            found = self.score.get(part)
             if found:
                 ids.append(found[1])
             else:
-                ids.extend([self.bytes[x] for x in text[a:b].encode("utf-8", "surrogatepass")])
-        return ids.tobytes()
+                ids += [self.bytes[x] for x in part.encode("utf-8", "surrogatepass")]
+        return array.array("I", ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         """Ids of a word: the recurrence of ``ways`` over one short string."""
@@ -139,12 +144,15 @@ class Vocabulary(dict):
             for end in range(at + 1, n + 1):
                 part = word[at:end]
                 found = find(part)
-                if found is not None:
-                    known = known or end == at + 1
-                    total = here + found[0]
-                    if total > best[end]:
-                        best[end], back[end] = total, at
-                if part not in begins:
+                if found is None:
+                    if part not in begins:
+                        break
+                    continue
+                known = known or end == at + 1
+                total = here + found[0]
+                if total > best[end]:
+                    best[end], back[end] = total, at
+                if not found[2]:
                     break
             if not known and here > best[at + 1]:
                 best[at + 1], back[at + 1] = here, at
@@ -241,23 +249,47 @@ def encode_chunk(v: Vocabulary, text: str, size: int, s: int, t: int) -> bytes:
 ROWS = "row string, doc_id long, n_chars long, chunk int, size int, text string"
 
 
+SUMMARY = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string())])
+ENCODED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("ids", pa.binary())])
+
+
+def summary(v: Vocabulary, doc_ids, n_chars, ids: list[bytes]) -> pa.RecordBatch:
+    cells = [doc_ids, n_chars, [len(i) // 4 for i in ids], [zlib.crc32(i) for i in ids], [hashlib.sha256(v.decode(i)).hexdigest() for i in ids]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, SUMMARY, strict=True)], schema=SUMMARY)
+
+
 def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", chunk: int = 1 << 16) -> DataFrame:
     """doc_id, n_chars, ids (little-endian 32-bit integers): one row per input row.
 
     ``vocabulary`` is the path of a model file, the same on every machine.
     """
+    short, long = split(docs, doc_id, text, chunk)
+
+    def whole(stream):
+        v = Vocabulary(vocabulary)
+        for doc_ids, texts in portions(stream):
+            cells = [doc_ids, list(map(len, texts)), [v.encode(mark(t)) for t in texts]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, ENCODED, strict=True)], schema=ENCODED)
+
+    return short.mapInArrow(whole, "doc_id long, n_chars long, ids binary").unionByName(scanned(long, vocabulary, chunk))
+
+
+def split(docs: DataFrame, doc_id: str, text: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Documents of one chunk, and longer ones."""
     body = F.coalesce(common.text_column(docs, text), F.lit(""))
     rows = docs.select(common.long_column(docs, doc_id).alias("doc_id"), body.alias("text"))
-    short, long = rows.where(F.length("text") < chunk), rows.where(F.length("text") >= chunk)
+    return rows.where(F.length("text") < chunk), rows.where(F.length("text") >= chunk)
 
-    def whole(stream):
-        v, schema = Vocabulary(vocabulary), pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("ids", pa.binary())])
-        for batch in stream:
-            texts = [t.as_py() for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(list(map(len, texts)), pa.int64()), pa.array([v.encode(mark(t)) for t in texts], pa.binary())], schema=schema)
 
-    done = short.mapInArrow(whole, "doc_id long, n_chars long, ids binary")
+def portions(stream):
+    for batch in stream:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(at, ROWS_AT_ONCE)
+            yield part["doc_id"].to_pylist(), part["text"].to_pylist()
+
 
+def scanned(long: DataFrame, vocabulary: str, chunk: int) -> DataFrame:
+    """The long documents' ids by the parallel scan."""
     chunks = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("chunk", pa.int32()), ("size", pa.int32()), ("text", pa.string())])
 
     def deal(stream):
@@ -301,7 +333,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
         table = table.sort_by("chunk")
         return pa.table({"doc_id": table["doc_id"].slice(0, 1), "n_chars": table["n_chars"].slice(0, 1), "ids": pa.array([b"".join(table["ids"].to_pylist())], pa.binary())})
 
-    return done.unionByName(traced.groupBy("row").applyInArrow(gather, "doc_id long, n_chars long, ids binary"))
+    return traced.groupBy("row").applyInArrow(gather, "doc_id long, n_chars long, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -318,13 +350,17 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", chunk: int = 1 << 16) -> DataFrame:
     """doc_id, n_chars, n_tokens, ids_crc32, decoded_sha256: every text encoded and decoded again."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string())])
+    short, long = split(docs, doc_id, text, chunk)
 
-    def run(stream):
+    def whole(stream):
+        v = Vocabulary(vocabulary)
+        for doc_ids, texts in portions(stream):
+            yield summary(v, doc_ids, list(map(len, texts)), [v.encode(mark(t)) for t in texts])
+
+    def parts(stream):
         v = Vocabulary(vocabulary)
         for batch in stream:
-            ids = [i.as_py() for i in batch["ids"]]
-            cols = [[len(i) // 4 for i in ids], [zlib.crc32(i) for i in ids], [hashlib.sha256(v.decode(i)).hexdigest() for i in ids]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_chars"], *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[2:], strict=True)]], schema=schema)
+            yield summary(v, batch["doc_id"].to_pylist(), batch["n_chars"].to_pylist(), batch["ids"].to_pylist())
 
-    return encode(docs, vocabulary, doc_id, text, chunk).mapInArrow(run, "doc_id long, n_chars long, n_tokens long, ids_crc32 long, decoded_sha256 string")
+    schema = "doc_id long, n_chars long, n_tokens long, ids_crc32 long, decoded_sha256 string"
+    return short.mapInArrow(whole, schema).unionByName(scanned(long, vocabulary, chunk).mapInArrow(parts, schema))
