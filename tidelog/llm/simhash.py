@@ -207,7 +207,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     (key,) = common.unused(docs, "group_key")
     groups = near_duplicates(docs, doc_id, text)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    own = docs.withColumn(key + "_id", common.long_column(docs, doc_id))
-    joined = own.join(kept, own[key + "_id"].eqNullSafe(kept[key]), "left_semi").drop(key + "_id")
-    return joined.dropDuplicates([doc_id])
+    # nulls take the largest key; the texts are dealt out by it once, for the join and for repeated rows
+    none = F.lit(2**63 - 1)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", none).alias(key)).distinct()
+    own = docs.withColumn(key, F.coalesce(common.long_column(docs, doc_id), none))
+    return own.join(kept, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
