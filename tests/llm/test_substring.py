@@ -52,7 +52,7 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("flush", [1_500_000, 700])
+@pytest.mark.parametrize("flush", [600_000, 700])
 def test_matches_brute_force(spark, rows, flush, monkeypatch):
     monkeypatch.setattr(substring, "FLUSH", flush)
     got = rows_of(substring.deduplicate(table(spark, rows).repartition(5)))

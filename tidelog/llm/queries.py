@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import common
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -39,7 +39,7 @@ from . import common
 
 LAST = 2**63 - 1
 #: Positions that a map task sorts at a time.
-FLUSH = 1_500_000
+FLUSH = 600_000
 MASK = np.uint64((1 << 48) - 1)
 
 
