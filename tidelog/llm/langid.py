@@ -195,7 +195,7 @@ def train(
                         out["deal"].append(pos % 5 / 5)
             yield common.batches(out, schema)
 
-    got = chosen.mapInArrow(featurize, "l string, grams binary, shares binary, deal double").collect()
+    got = chosen.mapInArrow(common.lean(featurize), "l string, grams binary, shares binary, deal double").collect()
     data = [(r[0], np.frombuffer(r[1], "<u4"), np.frombuffer(r[2], "<f4"), r[3]) for r in sorted(got)]
     return fit(data, bits, ambiguity)
 

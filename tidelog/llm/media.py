@@ -162,9 +162,9 @@ def store(docs: DataFrame, text: str = "text", passes: int = 2) -> DataFrame:
 
     index = None
     for k in range(passes):
-        drawn = docs.select(common.text_column(docs, text).alias("text")).mapInArrow(lambda stream, k=k: draw(stream, k), "digest string, image binary")
+        drawn = docs.select(common.text_column(docs, text).alias("text")).mapInArrow(common.lean(lambda stream, k=k: draw(stream, k)), "digest string, image binary")
         dealt = drawn.repartition(common.partitions(spark), "digest").sortWithinPartitions("digest")
-        part = common.materialize(dealt.mapInArrow(write, INDEX), f"media-index-{k}")
+        part = common.materialize(dealt.mapInArrow(common.lean(write), INDEX), f"media-index-{k}")
         index = part if index is None else index.unionByName(part)
     index.media_folder = folder
     return index
@@ -198,7 +198,7 @@ def with_metadata(index: DataFrame, folder: str) -> DataFrame:
             cols = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "width", "height", "bits"])
 
-    return in_shard_order(index).mapInArrow(run, schema)
+    return in_shard_order(index).mapInArrow(common.lean(run), schema)
 
 
 def read_back(index: DataFrame, folder: str) -> DataFrame:
@@ -217,7 +217,7 @@ def read_back(index: DataFrame, folder: str) -> DataFrame:
                     out[name].append(value)
             yield common.batches(out, schema)
 
-    return in_shard_order(index).mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return in_shard_order(index).mapInArrow(common.lean(run), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ from . import common
 END = 0
 #: Texts are tokenised in parts of about so many characters, cut at white space.
 PART = 1 << 20
-CACHED_WORDS = 500_000
+CACHED_WORDS = 350_000
 CACHED_LENGTH = 64
 #: Words of printable ASCII and Latin-1 letters, and the pre-tokens of the vocabulary file for them in lower case.
 PLAIN = r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*"
@@ -122,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, doc_id: str = "doc_id
             yield common.batches(out, schema)
 
     rows = docs.select(common.long_column(docs, doc_id).alias("doc_id"), common.text_column(docs, text).alias("text"))
-    return rows.mapInArrow(tokenise, PIECES)
+    return rows.mapInArrow(common.lean(tokenise), PIECES)
 
 
 class Bins:

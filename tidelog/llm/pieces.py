@@ -271,7 +271,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
             cells = [doc_ids, list(map(len, texts)), [v.encode(mark(t)) for t in texts]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, ENCODED, strict=True)], schema=ENCODED)
 
-    return short.mapInArrow(whole, "doc_id long, n_chars long, ids binary").unionByName(scanned(long, vocabulary, chunk))
+    return short.mapInArrow(common.lean(whole), "doc_id long, n_chars long, ids binary").unionByName(scanned(long, vocabulary, chunk))
 
 
 def split(docs: DataFrame, doc_id: str, text: str, chunk: int) -> tuple[DataFrame, DataFrame]:
@@ -304,7 +304,7 @@ def scanned(long: DataFrame, vocabulary: str, chunk: int) -> DataFrame:
                     cells = (row, ident, len(body_), k, min(chunk, len(marked) - at), marked[at : at + chunk + reach])
                     yield common.batches({n: [c] for n, c in zip(chunks.names, cells, strict=True)}, chunks)
 
-    parts = common.materialize(long.mapInArrow(deal, ROWS), "pieces-chunks")
+    parts = common.materialize(long.mapInArrow(common.lean(deal), ROWS), "pieces-chunks")
 
     def measure(stream):
         v = Vocabulary(vocabulary)
@@ -318,7 +318,7 @@ def scanned(long: DataFrame, vocabulary: str, chunk: int) -> DataFrame:
         cuts = states([m.reshape(int(len(m) ** 0.5), -1) for m in raw])
         return pa.table({"row": table["row"], "chunk": table["chunk"], "s": pa.array(cuts[:-1], pa.int32()), "t": pa.array(cuts[1:], pa.int32())})
 
-    matrices = parts.mapInArrow(measure, "row string, chunk int, matrix binary")
+    matrices = parts.mapInArrow(common.lean(measure), "row string, chunk int, matrix binary")
     ends = matrices.groupBy("row").applyInArrow(scan, "row string, chunk int, s int, t int")
 
     def trace(stream):
@@ -327,7 +327,7 @@ def scanned(long: DataFrame, vocabulary: str, chunk: int) -> DataFrame:
             found = [encode_chunk(v, *cells) for cells in zip(*[batch[c].to_pylist() for c in ("text", "size", "s", "t")], strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("row", "doc_id", "n_chars", "chunk")], pa.array(found, pa.binary())], names=["row", "doc_id", "n_chars", "chunk", "ids"])
 
-    traced = parts.join(ends, ["row", "chunk"]).select("row", "doc_id", "n_chars", "chunk", "text", "size", "s", "t").mapInArrow(trace, "row string, doc_id long, n_chars long, chunk int, ids binary")
+    traced = parts.join(ends, ["row", "chunk"]).select("row", "doc_id", "n_chars", "chunk", "text", "size", "s", "t").mapInArrow(common.lean(trace), "row string, doc_id long, n_chars long, chunk int, ids binary")
 
     def gather(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
@@ -345,7 +345,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             texts = [v.decode(i.as_py()).decode("utf-8", "replace") for i in batch["ids"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(common.lean(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", chunk: int = 1 << 16) -> DataFrame:
@@ -363,4 +363,4 @@ def round_trip(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
             yield summary(v, batch["doc_id"].to_pylist(), batch["n_chars"].to_pylist(), batch["ids"].to_pylist())
 
     schema = "doc_id long, n_chars long, n_tokens long, ids_crc32 long, decoded_sha256 string"
-    return short.mapInArrow(whole, schema).unionByName(scanned(long, vocabulary, chunk).mapInArrow(parts, schema))
+    return short.mapInArrow(common.lean(whole), schema).unionByName(scanned(long, vocabulary, chunk).mapInArrow(common.lean(parts), schema))

@@ -194,7 +194,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_do
                     out["order"].append(order)
             yield common.batches(out, schema)
 
-    got = chosen.mapInArrow(examples, "codes binary, label int, order long")
+    got = chosen.mapInArrow(common.lean(examples), "codes binary, label int, order long")
     positive = got.where("label = 1").orderBy("order", "codes").limit(2000)
     negative = got.where("label = 0").orderBy("order", "codes").limit(4000)
     data = sorted((r["order"], r["codes"], r["label"]) for r in common.materialize(positive.unionByName(negative), "secrets-sample").collect())
@@ -239,7 +239,7 @@ def scan(docs: DataFrame, net: Network | None = None, doc_id: str = "doc_id", te
             yield common.batches(out, schema)
 
     rows = docs.select(common.long_column(docs, doc_id).alias("doc_id"), common.text_column(docs, text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_cnn long, base_sha256 string, spans string")
+    return rows.mapInArrow(common.lean(run), "doc_id long, n_assign long, n_access long, n_hex long, n_cnn long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, net: Network | None = None, doc_id: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:

@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.array(fps, np.uint64).view(np.int64))], schema=schema)
 
     rows = docs.select(common.long_column(docs, doc_id).alias("doc_id"), common.text_column(docs, text).alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, fp long")
+    return rows.mapInArrow(common.lean(compute), "doc_id long, fp long")
 
 
 def keys_of(fps: np.ndarray, free: np.ndarray, path: np.ndarray, level: int):
@@ -175,11 +175,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, direct: int = DIRECT) -> Dat
                 for key, below in keys_of(part, everything, np.uint64(0), 0):
                     yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(key.view(np.int64)), pa.array(np.full(len(part), below, np.uint64).view(np.int64))], schema=schema)
 
-    rows = fps.mapInArrow(first, "fp long, key long, free long")
+    rows = fps.mapInArrow(common.lean(first), "fp long, key long, free long")
     found = None
     for depth in range(1, 7):
         level = rows.repartition(parts * 2, "key").sortWithinPartitions("key", "fp")
-        out = common.materialize(level.mapInArrow(lambda s, d=depth: runs_to_links(s, d, max_bits, direct), "u long, v long, key long, free long"), f"simhash-{depth}")
+        out = common.materialize(level.mapInArrow(common.lean(lambda s, d=depth: runs_to_links(s, d, max_bits, direct)), "u long, v long, key long, free long"), f"simhash-{depth}")
         got = out.where("free = 0").select("u", "v")
         found = got if found is None else found.union(got)
         rows = out.where("free <> 0").select(F.col("u").alias("fp"), "key", "free")

@@ -341,13 +341,13 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     block, buckets = window // 2, common.partitions(spark) * 2
     body = common.text_column(docs, text)
     rows = docs.select(F.coalesce(common.long_column(docs, doc_id), F.lit(LAST)).alias("key"), F.xxhash64(body).alias("mark"), body.alias("text")).where("text is not null")
-    packed = rows.select("key", "text").mapInArrow(lambda s: anchor_rows(s, block, window, buckets), "bucket int, kind int, ids binary, counts binary, hashes binary")
-    hits = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(match_anchors, "key long, hashes binary")
+    packed = rows.select("key", "text").mapInArrow(common.lean(lambda s: anchor_rows(s, block, window, buckets)), "bucket int, kind int, ids binary, counts binary, hashes binary")
+    hits = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(common.lean(match_anchors), "key long, hashes binary")
     hits = common.materialize(hits, "substring-hits")
     grouped = hits.groupBy("key").agg(F.collect_list("hashes").alias("hits"))
     candidates = rows.join(grouped, "key").select("key", "mark", "text", "hits")
-    asked = candidates.mapInArrow(lambda s: window_rows(s, block, window, buckets), "bucket int, kind int, ids binary, texts binary, starts binary, digests binary")
-    found = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settle_windows, "key long, mark long, starts binary")
+    asked = candidates.mapInArrow(common.lean(lambda s: window_rows(s, block, window, buckets)), "bucket int, kind int, ids binary, texts binary, starts binary, digests binary")
+    found = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(common.lean(settle_windows), "key long, mark long, starts binary")
     return common.materialize(found, "substring-windows")
 
 
@@ -391,7 +391,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
             yield common.batches(out, schema)
 
     joined = with_repeats(rows, "doc_id", "text", window, "starts").select("doc_id", "text", "starts")
-    return joined.mapInArrow(summarize, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(common.lean(summarize), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:

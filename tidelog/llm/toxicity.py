@@ -125,7 +125,7 @@ def counted(rows: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    part = rows.select("text", "toxic").mapInArrow(run, "word string, toxic long, ordinary long")
+    part = rows.select("text", "toxic").mapInArrow(common.lean(run), "word string, toxic long, ordinary long")
     return part.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
@@ -191,7 +191,7 @@ def train(
             found = [differences.features(t.as_py()) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["toxic"], *[pa.array([f[k] for f in found], pa.float64()) for k in range(2)]], names=["toxic", "a", "b"])
 
-    y, a, b = columns(held.mapInArrow(measure, "toxic int, a double, b double"))
+    y, a, b = columns(held.mapInArrow(common.lean(measure), "toxic int, a double, b double"))
     model.weights = logistic(np.stack([np.ones(len(y)), a, b], axis=1), y.astype(np.float64))
     return model
 
@@ -219,5 +219,5 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, doc_id
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(common.long_column(docs, doc_id).alias("doc_id"), common.text_column(docs, text).alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = rows.mapInArrow(common.lean(run), "doc_id long, score double")
     return scored.select("doc_id", (common.crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
