@@ -210,7 +210,7 @@ def stream_iterate(spark, sf_dir):
 def stream_iterate_resume(spark, sf_dir):
     got = streams.iterate(tables.event_log(spark, sf_dir), 300, 50)
     pos = ordering.positions(got, ["stream"], "seq", [F.asc("seq")], False).select("seq", "pos")
-    return pos.crossJoin(F.broadcast(streams.next_cursor(got, 300)))  # one row
+    return pos.withColumn("cursor", F.lit(streams.next_cursor(got, 300).first()["cursor"]).cast("bigint"))
 
 
 @query(f"SELECT index_key, max(seq) AS tail FROM ({LOG}) GROUP BY index_key")
@@ -239,9 +239,9 @@ def stream_scan_index_resume(spark, sf_dir):
     log = tables.event_log(spark, sf_dir)
     got = streams.scan_index(log, "type", "click", 800, 20)
     pos = ordering.positions(got, ["stream"], "seq", [F.desc("seq")], True).select("seq", "pos")
-    last = got.agg(F.min("seq").alias("last"))  # one row
-    older = streams.links(log).where("index_key = 'type:click'").join(F.broadcast(last), F.col("seq") == F.col("last")).select(F.col("prev").alias("cursor"))
-    return pos.crossJoin(F.broadcast(older))
+    last = got.agg(F.min("seq")).first()[0]
+    older = streams.links(log).where((F.col("index_key") == "type:click") & (F.col("seq") == last)).first()
+    return pos.withColumn("cursor", F.lit(older["prev"] if older else 0).cast("bigint"))
 
 
 @query("SELECT max(event_id) + 2 AS cursor FROM events")
