@@ -6,12 +6,14 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +88,16 @@ def lean(function):
     return run
 
 
+class Shared:
+    """A small value for all workers, broadcast with its class, which a plain broadcast would look up in an installed copy."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def load(self):
+        return pickle.loads(self.box.value)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

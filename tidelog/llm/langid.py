@@ -202,11 +202,11 @@ def train(
 
 def predictions(docs: DataFrame, model: Model, text: str = "text"):
     """A struct column (lang_pred, score, ambiguous) over every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits x code bits, whatever the corpus
+    shared = common.Shared(docs.sparkSession, model)  # 2**bits x code bits, whatever the corpus
 
     @F.arrow_udf(RESULT)
     def predict(texts: pa.Array) -> pa.Array:
-        m = shared.value
+        m = shared.load()
         rows = [m.predict(t.as_py()) for t in texts]
         names, scores, unsure = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.StructArray.from_arrays(

@@ -224,14 +224,15 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, net: Network | None = None, doc_id: str = "doc_id", text: str = "text", **fit_args) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_cnn, base_sha256, spans: one row per input row."""
     net = net or train(docs, doc_id, text, **fit_args)
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers
+    shared = common.Shared(docs.sparkSession, net)  # a few thousand numbers
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_cnn", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(stream):
+        found = shared.load()
         for batch in stream:
             out = {f.name: [] for f in schema}
             for ident, body in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                spans = spans_of(body.as_py(), shared.value)
+                spans = spans_of(body.as_py(), found)
                 counts = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
                 base = written([s for s in spans if s[1] < 3])
                 for name, cell in zip(schema.names, (ident, *counts, hashlib.sha256(base.encode()).hexdigest(), written(spans)), strict=True):
@@ -245,14 +246,14 @@ def scan(docs: DataFrame, net: Network | None = None, doc_id: str = "doc_id", te
 def redact(docs: DataFrame, net: Network | None = None, doc_id: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
     """The documents with every finding replaced by ``mark``, other columns unchanged; a null text stays null."""
     net = net or train(docs, doc_id, text)
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = common.Shared(docs.sparkSession, net)
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
-        out = []
+        found, out = shared.load(), []
         for body in texts:
             body = body.as_py()
-            spans = spans_of(body, shared.value)
+            spans = spans_of(body, found)
             if spans:
                 parts, at = [], 0
                 for a, _, b in spans:

@@ -183,10 +183,10 @@ def train(
     model = Model(key[order], step[order], letters, margin)
 
     held = rows.where("fold = 1").select("text", "toxic", F.xxhash64("text", F.lit("calibrate")).alias("order")).orderBy("order").limit(calibrate)
-    box = docs.sparkSession.sparkContext.broadcast(model)
+    box = common.Shared(docs.sparkSession, model)
 
     def measure(stream):
-        differences = Differences(box.value)
+        differences = Differences(box.load())
         for batch in stream:
             found = [differences.features(t.as_py()) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["toxic"], *[pa.array([f[k] for f in found], pa.float64()) for k in range(2)]], names=["toxic", "a", "b"])
@@ -210,13 +210,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", **fit_args) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per input row."""
     model = model or train(docs, labels, doc_id, text, label, **fit_args)
-    box = docs.sparkSession.sparkContext.broadcast(model)
+    box = common.Shared(docs.sparkSession, model)
 
     def run(stream):
-        differences = Differences(box.value) if box.value else None
+        found = box.load()
+        differences = Differences(found) if found else None
         for batch in stream:
-            found = [differences.score(t.as_py()) if differences is not None else 0.0 for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.float64())], names=["doc_id", "score"])
+            scores = [differences.score(t.as_py()) if differences is not None else 0.0 for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(common.long_column(docs, doc_id).alias("doc_id"), common.text_column(docs, text).alias("text"))
     scored = rows.mapInArrow(common.lean(run), "doc_id long, score double")
