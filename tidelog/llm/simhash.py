@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, graph
+from . import common, graph, minhash
 
 SEED = 42
 MAX_BITS = 3
@@ -200,15 +200,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each near-duplicate group (the smallest id), columns unchanged.
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", direct: int = minhash.DIRECT) -> DataFrame:
+    """node, doc_id, root: every distinct text with its smallest id and the node whose group it is in.
+
+    Groups are the connected components of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more.
+    """
+    rows = common.materialize(minhash.signatures(docs, doc_id, text), "near-signatures")
+    nodes = common.materialize(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-nodes")
+    firsts = nodes.select("node", "doc_id")
+    roots = graph.components(minhash.links(nodes, docs, firsts, doc_id, text, direct))
+    named = firsts.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    return common.materialize(named.select("node", "doc_id", F.coalesce("root", "node").alias("root")), "near-named")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", direct: int = minhash.DIRECT) -> DataFrame:
+    """One document of each group of near copies (the smallest id), columns unchanged.
 
     Of repeated rows with that id one stays; a group of null ids only keeps one row too.
     """
     (key,) = common.unused(docs, "group_key")
-    groups = near_duplicates(docs, doc_id, text)
+    groups = near_groups(docs, doc_id, text, direct)
     # nulls take the largest key; the texts are dealt out by it once, for the join and for repeated rows
     none = F.lit(2**63 - 1)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", none).alias(key)).distinct()
+    kept = groups.groupBy("root").agg(F.min(F.coalesce("doc_id", none)).alias(key)).select(key).distinct()
     own = docs.withColumn(key, F.coalesce(common.long_column(docs, doc_id), none))
     return own.join(kept, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
