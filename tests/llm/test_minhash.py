@@ -52,3 +52,8 @@ def test_signature_of_odd_texts():
     assert len(minhash.shingles(None)) == len(minhash.shingles(" \n")) == 0
     assert len(minhash.shingles("One two")) == 1 and (minhash.shingles("One two") == minhash.shingles("one  two")).all()
     assert (minhash.bands(minhash.shingles("x " * 20_000), a, b) == minhash.bands(minhash.shingles("x x x x x"), a, b)).all()
+
+
+def test_ids_do_not_decide_how_many_rows_stay(spark):
+    rows = [(None, "one text without an id"), (None, "quite another text without an id"), (None, None), (4, "some words under the number four"), (4, "unrelated things under the same number")]
+    assert sorted(map(repr, rows)) == sorted(repr((r["doc_id"], r["text"])) for r in rows_of(simhash.keep_one(table(spark, rows + rows))))

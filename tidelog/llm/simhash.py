@@ -214,14 +214,15 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dir
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", direct: int = minhash.DIRECT) -> DataFrame:
-    """One document of each group of near copies (the smallest id), columns unchanged.
+    """One document of each group of near copies (the smallest id, of several texts with it one), columns unchanged.
 
-    Of repeated rows with that id one stays; a group of null ids only keeps one row too.
+    Every group keeps exactly one row, whatever its ids; null ids come last.
     """
-    (key,) = common.unused(docs, "group_key")
+    key, part = common.unused(docs, "group_key", "group_part")
     groups = near_groups(docs, doc_id, text, direct)
-    # nulls take the largest key; the texts are dealt out by it once, for the join and for repeated rows
     none = F.lit(2**63 - 1)
-    kept = groups.groupBy("root").agg(F.min(F.coalesce("doc_id", none)).alias(key)).select(key).distinct()
-    own = docs.withColumn(key, F.coalesce(common.long_column(docs, doc_id), none))
-    return own.join(kept, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))).alias("m"))
+    # the texts are dealt out once, by text and id, for the join and for repeated rows
+    kept = first.select(F.col("m.node").alias(key), F.coalesce("m.id", none).alias(part))
+    own = docs.withColumns({key: minhash.node_of(common.text_column(docs, text)), part: F.coalesce(common.long_column(docs, doc_id), none)})
+    return own.join(kept, [key, part], "left_semi").dropDuplicates([key, part]).select(*[F.col(f"`{c}`") for c in docs.columns])
