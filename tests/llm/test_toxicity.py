@@ -61,3 +61,24 @@ def test_counts_and_probabilities(spark):
             shared = both[p] / sum(both[q] for q in family)
             prob.append((kept[p] + (n - sum(kept.values())) * shared) / n if n else shared)
         assert abs(got[p] - math.log(prob[0] / prob[1])) < 1e-9
+
+
+def test_rare_words_count_in_a_large_corpus(spark):
+    """A beginning of 7 documents keeps its weight beside 2,000,000 counted words, of which the former share asked 8."""
+    words = spark.createDataFrame([("fine", 0, 1_000_000), ("day", 0, 1_000_000), ("bad", 1_000, 0), ("vilex", 7, 0)], "word string, toxic long, ordinary long")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    docs = table(spark, [(i, "bad" if i % 3 == 0 else "fine day") for i in range(60)])
+    before, toxicity.counted = toxicity.counted, lambda rows: words
+    try:
+        model = toxicity.train(docs, labels)
+    finally:
+        toxicity.counted = before
+    assert toxicity.Differences(model)[b"vilex"] > toxicity.Differences(model)[b"other"] == 0
+
+
+def test_table_model_scores_like_a_broadcast_one(spark):
+    rows = [(i, ("you idiot " if i % 3 == 0 else "fine day ") + f"word{i % 7} and word{i % 5} here") for i in range(200)]
+    docs = table(spark, [*rows, (900, None), (901, ""), (None, "you idiot"), (903, "you idiot " * 300), (903, "you idiot " * 300)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    one, other = (sorted((repr(r["doc_id"]), round(r["score"], 9), r["predicted"]) for r in rows_of(toxicity.score(docs, labels, broadcast=n))) for n in (10**6, 0))
+    assert one == other and len(one) == 205

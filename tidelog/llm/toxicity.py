@@ -11,10 +11,10 @@ A text's score compares the log-likelihoods of its words.  A word counts as far
 likelihood ratio exceeds ``margin``, which leaves out what a class merely happens to say
 more often; the sum, per word and per square root of the words, goes through a logistic function.
 
-Counts cover all labelled rows and are made by grouped aggregation.  The model that is
-broadcast holds the beginnings whose share of all counted words is at least
-``share``, at most ``letters`` / share of them, whatever the corpus; beyond them both
-classes back off to the same counts.  The logistic weights are fitted on at most ``calibrate``
+Counts cover all labelled rows and are made by grouped aggregation.  The model holds
+every beginning that at least ``least`` word counts have, at every size of the corpus; beyond them both
+classes back off to the same counts.  A model of up to ``BROADCAST`` beginnings is broadcast.  A larger
+one stays a table, and the distinct words of the texts are joined to it by shuffles.  The logistic weights are fitted on at most ``calibrate``
 labelled documents that gave no counts (the documented bound).
 
 Rows with crc32(doc_id as text) mod 5 = 0 are held out; 1 calibrates, 2 to 4 count.
@@ -45,6 +45,8 @@ FLUSH = 1_000_000
 CACHED_WORDS = 300_000
 #: Labels up to this number of rows are broadcast; more are joined by a shuffle.
 FEW_LABELS = 1_000_000
+#: Beginnings of a model that is broadcast, 16 bytes each.
+BROADCAST = 1_000_000
 
 
 def word_table() -> bytes:
@@ -58,11 +60,15 @@ def words_of(text: str | None, table: bytes) -> list[bytes]:
 
 @dataclass
 class Model:
-    hashes: np.ndarray  # of the kept beginnings, sorted
-    steps: np.ndarray  # log P(toxic) - log P(ordinary) of each one's last letter
+    hashes: np.ndarray | None  # of the kept beginnings, sorted; None where they stay a table
+    steps: np.ndarray | None  # log P(toxic) - log P(ordinary) of each one's last letter
     letters: int
     margin: float
     weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    table: DataFrame | None = None  # key, step
+
+    def score(self, a: float, b: float) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.weights @ np.array([1.0, a, b]), -30, 30))))
 
 
 class Differences(dict):
@@ -89,8 +95,31 @@ class Differences(dict):
         return total / n, total / n**0.5
 
     def score(self, text: str | None) -> float:
-        a, b = self.features(text)
-        return float(1 / (1 + np.exp(-np.clip(self.model.weights @ np.array([1.0, a, b]), -30, 30))))
+        return self.model.score(*self.features(text))
+
+
+def features(rows: DataFrame, model: Model) -> DataFrame:
+    """row, a, b of the rows (row, text), by joins of their distinct words with the model's table."""
+
+    def split(stream):
+        table = word_table()
+        for batch in stream:
+            for row, body in zip(batch["row"].to_pylist(), batch["text"], strict=True):
+                counts = collections.Counter(words_of(body.as_py(), table))
+                n = max(1, counts.total())
+                words = pa.array([w.decode("utf-8", "replace") for w in counts] or [""], pa.string())  # a text without words keeps its row
+                times = pa.array(list(counts.values()) or [0], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(words), pa.int64()), pa.array([n] * len(words), pa.int64()), words, times], names=["row", "n", "word", "times"])
+
+    used = common.materialize(rows.select("row", "text").mapInArrow(common.lean(split), "row long, n long, word string, times long"), "toxicity-words")
+    full = F.concat("word", F.lit(END))
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.length(full), F.lit(model.letters))), lambda n: F.substring(full, F.lit(1), n))
+    each = used.where("times > 0").select("word").distinct().select("word", F.explode(starts).alias("start")).select("word", F.xxhash64("start").alias("key"))
+    total = each.join(model.table, "key").groupBy("word").agg(F.sum("step").alias("d"))
+    beyond = F.greatest(F.col("d") - model.margin, F.lit(0.0)) + F.least(F.col("d") + model.margin, F.lit(0.0))
+    weight = total.select("word", beyond.alias("d")).where("d <> 0")
+    sums = used.join(weight, "word", "left").groupBy("row").agg(F.first("n").alias("n"), F.coalesce(F.sum(F.col("d") * F.col("times")), F.lit(0.0)).alias("s"))
+    return sums.select("row", (F.col("s") / F.col("n")).alias("a"), (F.col("s") / F.sqrt("n")).alias("b"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
@@ -168,21 +197,30 @@ def train(
     label: str = "toxic",
     letters: int = 8,
     margin: float = 1.5,
-    share: float = 4e-6,
+    least: int = 2,
     calibrate: int = 20_000,
+    broadcast: int = BROADCAST,
 ) -> Model | None:
     rows = labelled(docs, labels, doc_id, text, label)
     starts = common.materialize(beginnings(counted(rows.where("fold > 1")), letters), "toxicity-beginnings")
     total = starts.where("start = ''").first()
     if total is None or not total["toxic"] or not total["ordinary"]:
         return None
-    least = max(2, share * (total["toxic"] + total["ordinary"]))
     kept = steps(starts).where((F.col("n") >= least) & (F.abs("step") > 1e-4)).select(F.xxhash64("start").alias("key"), "step")
-    key, step = columns(kept)
-    order = np.argsort(key)
-    model = Model(key[order], step[order], letters, margin)
+    kept = common.materialize(kept, "toxicity-model")
+    if kept.count() > broadcast:
+        model = Model(None, None, letters, margin, table=kept)
+    else:
+        key, step = columns(kept)
+        order = np.argsort(key)
+        model = Model(key[order], step[order], letters, margin)
 
     held = rows.where("fold = 1").select("text", "toxic", F.xxhash64("text", F.lit("calibrate")).alias("order")).orderBy("order").limit(calibrate)
+    if model.table is not None:
+        sample = common.materialize(held.select("toxic", "text", F.monotonically_increasing_id().alias("row")), "toxicity-calibrate")
+        y, a, b = columns(sample.join(features(sample, model), "row").select("toxic", "a", "b"))
+        model.weights = logistic(np.stack([np.ones(len(y)), a, b], axis=1), y.astype(np.float64))
+        return model
     box = common.Shared(docs.sparkSession, model)
 
     def measure(stream):
@@ -210,6 +248,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", **fit_args) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per input row."""
     model = model or train(docs, labels, doc_id, text, label, **fit_args)
+    if model is not None and model.table is not None:
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), common.long_column(docs, doc_id).alias("doc_id"), common.text_column(docs, text).alias("text"))
+        rows = common.materialize(rows, "toxicity-rows")
+        w = [float(x) for x in model.weights]
+        z = F.greatest(F.least(w[0] + w[1] * F.col("a") + w[2] * F.col("b"), F.lit(30.0)), F.lit(-30.0))
+        return decided(rows.select("row", "doc_id").join(features(rows, model), "row").select("doc_id", (1 / (1 + F.exp(-z))).alias("score")))
     box = common.Shared(docs.sparkSession, model)
 
     def run(stream):
@@ -220,5 +264,8 @@ def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, doc_id
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(common.long_column(docs, doc_id).alias("doc_id"), common.text_column(docs, text).alias("text"))
-    scored = rows.mapInArrow(common.lean(run), "doc_id long, score double")
+    return decided(rows.mapInArrow(common.lean(run), "doc_id long, score double"))
+
+
+def decided(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", (common.crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
