@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tidelog.llm import graph, simhash
@@ -76,3 +77,9 @@ def test_keep_one(spark):
     left = simhash.keep_one(docs)
     assert left.columns == docs.columns
     assert sorted(repr(r["doc_id"]) for r in rows_of(left)) == ["2", "9", "None"]
+
+
+def test_unconverged_components_are_an_error(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        graph.components(edges, rounds=1).collect()

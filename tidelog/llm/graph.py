@@ -19,7 +19,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Large-star and small-star steps alternate until the edges are stars around
     the roots.  Every round is a few aggregations and joins on node ids,
     written to the shared folder; nothing but two numbers reaches the driver.
-    A root has no row for itself; neither has a node without links.
+    A root has no row for itself; neither has a node without links.  Labels that still change after ``rounds`` are an error.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = common.materialize(now, "edges")
@@ -38,4 +38,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components did not converge in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
