@@ -14,8 +14,8 @@ def index_key(name: Column | str, value: Column | str) -> Column:
 
 
 def index_keys(indexes: Column) -> Column:
-    """All keys of an index map, one per entry."""
-    return F.transform(F.map_entries(indexes), lambda e: index_key(e["key"], e["value"]))
+    """All keys of an index map, one per entry; an entry without a value has none, nor has a null map."""
+    return F.transform(F.filter(F.map_entries(indexes), lambda e: e["value"].isNotNull()), lambda e: index_key(e["key"], e["value"]))
 
 
 def key_name(key: Column) -> Column:

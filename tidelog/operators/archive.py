@@ -1,6 +1,7 @@
 """Archive queries over a DataFrame of events (space, grouping, ts, seq, data, indexes).
 
-All methods return lazy DataFrames; an unknown space, grouping or index gives an empty one.
+All methods return lazy DataFrames; an unknown space, grouping or index gives an empty one.  ``None`` names the events
+whose space or grouping is null; events without indexes are on no index.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from ..functions.keys import bucket_of, index_key, index_keys
 from . import ordering
 
 
+def same(name: str, value) -> Column:
+    return F.col(name).isNull() if value is None else F.col(name) == F.lit(value)
+
+
 def postings_of(events: DataFrame) -> DataFrame:
     """One covering row per index entry: an event that carries a key twice is listed twice."""
     return events.select("space", F.explode(index_keys(F.col("indexes"))).alias("index_key"), "ts", "seq", "grouping", "data")
@@ -38,7 +43,7 @@ class Space:
 
     def scan(self, grouping: str, limit: int | None = None, ascending: bool = False) -> DataFrame:
         """Events of one grouping ('' is a grouping of its own), newest first."""
-        return self._ordered(self.events.where(F.col("grouping") == grouping), limit, ascending)
+        return self._ordered(self.events.where(same("grouping", grouping)), limit, ascending)
 
     def scan_index(self, name: str, value: str, limit: int | None = None, ascending: bool = False) -> DataFrame:
         """Events with this index value in any grouping, newest first."""
@@ -46,7 +51,7 @@ class Space:
 
     def scan_while(self, grouping: str, stop: Column) -> DataFrame:
         """Scan up to the first event that fulfils ``stop``, which is included."""
-        rows = self.events.where(F.col("grouping") == grouping)
+        rows = self.events.where(same("grouping", grouping))
         return ordering.take_while(rows, ["space", "grouping"], stop).orderBy("pos")
 
 
@@ -61,7 +66,7 @@ class ArchiveView:
         return self.events.select("space").distinct().orderBy("space")
 
     def space(self, id_) -> Space:
-        here = F.col("space") == F.lit(id_)
+        here = same("space", id_)
         if self.buckets:  # a constant: prunes directories
             here = here & (F.col("bucket") == bucket_of(F.lit(id_), self.buckets))
         return Space(id_, self.events.where(here), self.postings.where(here))

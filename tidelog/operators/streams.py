@@ -1,4 +1,9 @@
-"""Stream queries over a DataFrame of log events (stream, seq, data, indexes); seq starts at 1."""
+"""Stream queries over a DataFrame of log events (stream, seq, data, indexes); seq starts at 1.
+
+Nulls: an event without indexes, or with a null value of one, is not on that index; an event without ``seq`` is
+delivered first from the start and never from a cursor, and is linked to nothing.  Other columns are kept by
+``entries``, ``links``, ``iterate`` and ``scan_index``; empty logs give empty results.
+"""
 
 from __future__ import annotations
 

@@ -5,6 +5,8 @@ Every ordering query puts out its positions, so that the order itself is compare
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,10 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import ordering, streams
-from ..operators.archive import ArchiveView
+from ..operators.archive import ArchiveView, foreach_event
 from ..operators.kv import SortedTable
-from ..sources import tables
+from ..sources import exchange, files, stream_store, tables
 from ..sources.archive_store import Archive, ArchiveWriter
+from ..sources.stream_store import StreamLog
 from ..streaming import linker
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
@@ -32,9 +35,24 @@ def query(sql: str):
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share; it is deleted when the session ends.
+
+    Only a local session, as in tests, may leave the setting away.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(root or 'file://' + tempfile.mkdtemp()).rstrip('/')}/tidelog/{tag}-{uuid.uuid4().hex}"
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidelog-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/tidelog/{tag}-{uuid.uuid4().hex}"
+    atexit.register(discard, spark, path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        files.delete(spark, path)
 
 
 EVENTS = """SELECT CAST(user_id AS VARCHAR) AS space, event_type AS "grouping", CAST(floor(epoch(ts)) AS BIGINT) AS ts,
@@ -172,10 +190,25 @@ def stored(spark: SparkSession, events: DataFrame) -> Archive:
     return Archive.open(spark, path)
 
 
-@query(f'SELECT space, "grouping", ts, seq, data, {SCAN} AS pos FROM ({EVENTS}) WHERE user_id IN (7, 8)')
+@query(f'SELECT space, "grouping", ts, seq, data, {SCAN} AS pos FROM ({EVENTS})')
 def archive_roundtrip(spark, sf_dir):
-    archive = stored(spark, tables.events_by_user(spark, sf_dir))
-    return placed(archive.space("7").events.unionByName(archive.space("8").events))
+    return placed(stored(spark, tables.events_by_user(spark, sf_dir)).events)
+
+
+@query(f'SELECT space, "grouping", ts, seq, data, {SCAN} AS pos FROM ({EVENTS})')
+def archive_flush(spark, sf_dir):
+    """Two spaces are flushed before the rest is written; every space comes back."""
+    events, path = tables.events_by_user(spark, sf_dir), scratch(spark, "archive")
+    writer = ArchiveWriter(spark, path)
+    writer.add(events)
+    for space in ("8", "3", "no such space"):
+        writer.flush(space)
+    writer.write()
+    archive = Archive.open(spark, path)
+    flushed = archive.space("8").events.unionByName(archive.space("3").events)
+    rest = archive.rest.events
+    archive.close()
+    return placed(flushed.unionByName(rest, allowMissingColumns=True))
 
 
 @query(f"""SELECT space, 'type:click' AS index_key, ts, seq, "grouping", data, row_number() OVER (ORDER BY ts DESC, seq) AS pos FROM ({EVENTS}) WHERE user_id = 8 AND event_type = 'click'""")
@@ -198,6 +231,44 @@ def postings(spark, sf_dir):
     return ArchiveView(tables.events_by_user(spark, sf_dir)).postings.select("space", "index_key", "seq", "grouping")
 
 
+GAPS = """SELECT CASE WHEN user_id % 3 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS space, CASE WHEN event_type = 'click' THEN NULL ELSE event_type END AS "grouping",
+  CASE WHEN event_id % 4 = 1 THEN NULL ELSE CAST(floor(epoch(date_trunc('day', ts))) AS BIGINT) END AS ts, CASE WHEN event_id % 997 = 5 THEN NULL ELSE event_id + 1 END AS seq,
+  event_id AS id FROM events"""
+GAP_ORDER = 'OVER (PARTITION BY space, "grouping" ORDER BY ts DESC NULLS LAST, seq NULLS FIRST, id'
+
+
+def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with nulls in keys, times and sequence, and columns named like those used inside."""
+    e = tables.table(spark, sf_dir, "events")
+    some = F.when(F.col("user_id") % 3 != 0, F.col("user_id").cast("string"))
+    return e.select(some.alias("space"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("grouping"), F.when(F.col("event_id") % 4 != 1, tables.epoch(F.date_trunc("day", "ts"))).alias("ts"), F.when(F.col("event_id") % 997 != 5, F.col("event_id") + 1).alias("seq"), F.col("event_id").alias("block"), F.col("event_id").alias("_side_0"))
+
+
+#: Rows that are equal in keys, ts and seq may swap their positions: what is compared of them is the set of positions.
+@query(f'SELECT space, "grouping", ts, seq, row_number() {GAP_ORDER}) AS pos FROM ({GAPS})')
+def archive_scan_nulls(spark, sf_dir):
+    return ordering.scan_positions(gaps(spark, sf_dir), ["space", "grouping"]).select("space", "grouping", "ts", "seq", "pos")
+
+
+@query(f"""SELECT space, "grouping", ts, seq, pos FROM (SELECT *, row_number() {GAP_ORDER}) AS pos,
+  coalesce(sum(CASE WHEN seq % 50 = 0 THEN 1 ELSE 0 END) {GAP_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stops FROM ({GAPS})) WHERE stops = 0""")
+def archive_take_while_nulls(spark, sf_dir):
+    return ordering.take_while(gaps(spark, sf_dir), ["space", "grouping"], F.col("seq") % 50 == 0).select("space", "grouping", "ts", "seq", "pos")
+
+
+@query(f'SELECT space, "grouping", seq, CASE WHEN seq IS NULL THEN 0 ELSE coalesce(lag(seq) OVER (PARTITION BY space, "grouping" ORDER BY seq NULLS FIRST), 0) END AS prev FROM ({GAPS})')
+def stream_next_nulls(spark, sf_dir):
+    return ordering.previous(gaps(spark, sf_dir), ["space", "grouping"]).select("space", "grouping", "seq", "prev")
+
+
+@query(f"SELECT seq, ts, row_number() OVER (ORDER BY ts DESC, seq) AS pos FROM ({TYPES}) WHERE space = 'click' QUALIFY pos <= 7")
+def archive_visitor(spark, sf_dir):
+    """A callback that stops at the seventh event, which it still gets."""
+    seen = []
+    foreach_event(ArchiveView(tables.events_by_type(spark, sf_dir)).space("click").scan("").select("seq", "ts"), lambda r: seen.append((r["seq"], r["ts"], len(seen) + 1)) or len(seen) < 7)
+    return spark.createDataFrame(seen, "seq long, ts long, pos long")
+
+
 # Streams
 
 
@@ -284,32 +355,178 @@ def stream_conv_chain(spark, sf_dir):
     return streams.links(tables.conversation_logs(spark, sf_dir)).select("stream", "seq", "index_key", "prev")
 
 
-def log_files(spark: SparkSession, sf_dir: str, parts: int = 3) -> tuple[str, DataFrame]:
-    """The event log as files in sequence order."""
+def log_files(spark: SparkSession, sf_dir: str, parts: int = 3, files_each: int = 4) -> tuple[str, DataFrame]:
+    """The event log as directories of files, written in sequence order, ``files_each`` files a part."""
     path, log = scratch(spark, "log"), tables.event_log(spark, sf_dir)
     n = log.agg(F.max("seq")).first()[0]
     for k in range(parts):
         some = log.where((F.col("seq") > n * k // parts) & (F.col("seq") <= n * (k + 1) // parts))
-        some.coalesce(1).write.mode("append").parquet(path)
+        some.repartition(files_each).write.mode("append").parquet(path)
     return path, log
 
 
 @query(f"SELECT index_key, max(seq) AS tail FROM ({LOG}) GROUP BY index_key")
 def stream_tails_streaming(spark, sf_dir):
     path, log = log_files(spark, sf_dir)
-    name = f"tails_{uuid.uuid4().hex}"
-    linker.tails_query(linker.read_log(spark, path, log.schema), name, scratch(spark, "checkpoint")).awaitTermination()
-    return spark.table(name).select("index_key", "tail")
+    target = scratch(spark, "tails")
+    linker.tails_query(linker.read_log(spark, path, log.schema, 4), target, scratch(spark, "checkpoint")).awaitTermination()
+    return linker.tails(spark, target).select("index_key", "tail")
 
 
 @query(NEXT)
 def stream_append_streaming(spark, sf_dir):
     path, log = log_files(spark, sf_dir)
     target = scratch(spark, "linked")
-    linker.link_batches(linker.read_log(spark, path, log.schema), target, scratch(spark, "checkpoint")).awaitTermination()
+    linker.link_batches(linker.read_log(spark, path, log.schema, 4), target, scratch(spark, "checkpoint")).awaitTermination()
     return linker.links(spark, target).select("seq", "index_key", "prev")
 
 
+# Stored logs
+
+
+def stored_log(spark: SparkSession, sf_dir: str, cut: int = 600) -> StreamLog:
+    """The event log, appended in two parts; the second through a handle of its own."""
+    path, log = scratch(spark, "stored-log"), tables.event_log(spark, sf_dir)
+    StreamLog.create(spark, path, "events").append(log.where(F.col("seq") <= cut))
+    StreamLog.open(spark, path).append(log.where(F.col("seq") > cut).withColumn("seq", F.col("seq") - cut))
+    return StreamLog.open(spark, path)
+
+
+@query("SELECT event_id + 1 AS seq, props AS data, row_number() OVER (ORDER BY event_id) AS pos FROM events")
+def stream_log_iterate(spark, sf_dir):
+    return ordering.positions(stored_log(spark, sf_dir).iterate(), ["stream"], "seq", [F.asc("seq")], False).select("seq", "data", "pos")
+
+
+@query(NEXT)
+def stream_log_links(spark, sf_dir):
+    return stored_log(spark, sf_dir).postings().select("seq", "index_key", "prev")
+
+
+@query("""SELECT event_id + 1 AS seq, lag(event_id + 1, 1, 0) OVER (ORDER BY event_id) AS prev, props AS data, row_number() OVER (ORDER BY event_id DESC) AS pos FROM events WHERE event_type = 'click'""")
+def stream_log_scan_index(spark, sf_dir):
+    log = stored_log(spark, sf_dir)
+    log.seal()
+    found = StreamLog.open(spark, log.path).scan_index("type", "click")
+    return ordering.positions(found, ["stream"], "seq", [F.desc("seq")], True).select("seq", "prev", "data", "pos")
+
+
+@query(f"SELECT index_key, max(seq) AS tail FROM ({LOG}) GROUP BY index_key")
+def stream_log_tails(spark, sf_dir):
+    log = stored_log(spark, sf_dir)
+    log.seal()
+    return StreamLog.open(spark, log.path).tails().select("index_key", "tail")
+
+
+@query("""SELECT step, closed, "offset", length, newest FROM (VALUES (1, false, 0, 0, 0), (2, false, 600, 600, 600), (3, false, -1, -1, -1), (4, true, -1, -1, -1)) AS t(step, closed, o, l, n),
+  (SELECT count(*) AS rows, max(event_id) + 1 AS top FROM events), (SELECT max(event_id) + 1 AS before FROM events WHERE event_type = 'click' AND event_id < 600), (SELECT max(event_id) + 1 AS after FROM events WHERE event_type = 'click'),
+  LATERAL (SELECT CAST(CASE WHEN o < 0 THEN top ELSE o END AS BIGINT) AS "offset", CAST(CASE WHEN l < 0 THEN rows ELSE l END AS BIGINT) AS length, CAST(CASE step WHEN 1 THEN 0 WHEN 2 THEN before ELSE after END AS BIGINT) AS newest)""")
+def stream_log_state(spark, sf_dir):
+    """Closed flag, offset, length and newest click of a log: new, appended to, reopened and appended to, sealed and reopened."""
+    path, log, seen = scratch(spark, "stored-log"), tables.event_log(spark, sf_dir), []
+
+    def note(handle: StreamLog) -> None:
+        seen.append((len(seen) + 1, handle.closed, handle.offset, handle.length, handle.first("type", "click")))
+
+    one = StreamLog.create(spark, path)
+    note(one)
+    one.append(log.where("seq <= 600"))
+    note(one)
+    two = StreamLog.open(spark, path)
+    two.append(log.where("seq > 600").withColumn("seq", F.col("seq") - 600))
+    note(two)
+    two.close()
+    two.close()
+    note(StreamLog.open(spark, path))
+    return spark.createDataFrame(seen, "step int, closed boolean, offset long, length long, newest long")
+
+
+@query("SELECT event_id + 1 AS seq, props AS data FROM events")
+def stream_log_recovery(spark, sf_dir):
+    """A refused append and a torn one between two good ones."""
+    path, log = scratch(spark, "stored-log"), tables.event_log(spark, sf_dir)
+    StreamLog.create(spark, path).append(log.where("seq <= 600"))
+    rest = log.where("seq > 600").withColumn("seq", F.col("seq") - 600)
+    with contextlib.suppress(ValueError):
+        StreamLog.open(spark, path).append(rest.withColumn("seq", F.col("seq") + 5))
+    rest.write.parquet(f"{path}/append-1-torn/events")
+    reopened = StreamLog.open(spark, path)
+    reopened.append(rest)
+    reopened.recover()
+    return StreamLog.open(spark, path).events().select("seq", "data")
+
+
+@query("SELECT row_number() OVER (ORDER BY user_id, event_id) AS seq, props AS data FROM events")
+def stream_log_order(spark, sf_dir):
+    """Events without a sequence, appended in the order of two columns."""
+    e = tables.table(spark, sf_dir, "events").select("user_id", "event_id", F.col("props").alias("data"), F.create_map(F.lit("type"), "event_type").alias("indexes"))
+    log = StreamLog.create(spark, scratch(spark, "stored-log"))
+    log.append(e, ["user_id", "event_id"])
+    return log.events().select("seq", "data")
+
+
+@query(f"SELECT seq, lag(seq, 1, 0) OVER (ORDER BY seq) AS prev, row_number() OVER (ORDER BY seq DESC) AS pos FROM ({MERGED}) WHERE user_id = 8")
+def stream_log_merge(spark, sf_dir):
+    log, paths = tables.event_log(spark, sf_dir), [scratch(spark, "stored-log") for _ in range(2)]
+    StreamLog.create(spark, paths[0]).append(log.where("seq > 600").withColumn("seq", F.col("seq") - 600))
+    StreamLog.create(spark, paths[1]).append(log.where("seq <= 600"))
+    StreamLog.open(spark, paths[1]).seal()
+    one = stream_store.merge(spark, scratch(spark, "stored-log"), paths)
+    return ordering.positions(one.scan_index("user", "8"), ["stream"], "seq", [F.desc("seq")], True).select("seq", "prev", "pos")
+
+
+# Byte layouts
+
+
+@query("""SELECT event_id + 1 AS seq, CAST(4 + 1 + octet_length(encode(props)) + 1 + 1 + octet_length(encode('type:' || event_type)) + CASE WHEN event_id < 128 THEN 1 WHEN event_id < 16384 THEN 2 ELSE 3 END AS BIGINT) AS bytes,
+  lower(hex(encode(props))) AS data FROM events""")
+def stream_serialize(spark, sf_dir):
+    """Records of one index entry whose older offset is the event's id; the data stand after the two lengths."""
+    e = tables.table(spark, sf_dir, "events")
+    key = F.concat(F.lit("type:"), "event_type")
+    record = exchange.serialized(F.col("props"), F.create_map(F.lit("type"), "event_type"), F.create_map(key, F.col("event_id")))
+    return e.select((F.col("event_id") + 1).alias("seq"), record.alias("r"), F.octet_length("props").alias("n")).select("seq", F.octet_length("r").cast("bigint").alias("bytes"), F.lower(F.hex(F.substring("r", F.lit(6), F.col("n")))).alias("data"))
+
+
+@query("""SELECT conv_id, turn, sha256(text) AS whole, lower(hex(encode(substring(text, 65, 8)))) AS peek FROM conversations WHERE text = regexp_replace(text, '[^ -~]', '', 'g')""")
+def block_seek(spark, sf_dir):
+    """Texts in blocks of 64 bytes: read back whole, and 8 bytes from the second block on."""
+    c = tables.table(spark, sf_dir, "conversations").where("text = regexp_replace(text, '[^ -~]', '')")
+    stored = c.select("conv_id", "turn", exchange.blocked(F.col("text"), 64).alias("b"))
+    return stored.select("conv_id", "turn", F.sha2(exchange.unblocked(F.col("b"), 64), 256).alias("whole"), F.lower(F.hex(exchange.unblocked(F.col("b"), 64, 1, 8))).alias("peek"))
+
+
+@query(f"SELECT space AS path, space, ts, data, 'user:' || usr AS keys, row_number() OVER (PARTITION BY space ORDER BY ts DESC, seq) AS pos FROM ({TYPES})")
+def exchange_archive(spark, sf_dir):
+    """One archive file of each event type, and what is read back from the files."""
+    path = scratch(spark, "archive-files")
+    exchange.archive_files(tables.events_by_type(spark, sf_dir).withColumn("path", F.col("space")), "path").write.parquet(path)
+    found = exchange.read_archives(spark.read.parquet(path))
+    return found.select("path", "space", "ts", F.col("data").cast("string").alias("data"), F.array_join("keys", ",").alias("keys"), "pos")
+
+
+CHAIN = """SELECT CAST(conv_id AS VARCHAR) AS stream, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, text AS data,
+  'role:' || role AS index_key FROM conversations"""
+
+
+@query(f"SELECT stream, seq, data, index_key, coalesce(lag(seq) OVER (PARTITION BY stream, index_key ORDER BY seq), 0) AS prev FROM ({CHAIN})")
+def exchange_log(spark, sf_dir):
+    """One log file of each conversation; the byte offsets read back are turned into sequence numbers by their records."""
+    path = scratch(spark, "log-files")
+    exchange.log_files(tables.conversation_logs(spark, sf_dir)).write.parquet(path)
+    rows = exchange.read_logs(spark.read.parquet(path))
+    each = rows.select("path", "seq", F.col("data").cast("string").alias("data"), F.explode("prev").alias("index_key", "older"))
+    places = rows.select("path", F.col("offset").alias("older"), F.col("seq").alias("prev"))
+    return each.join(places, ["path", "older"], "left").select(F.col("path").alias("stream"), "seq", "data", "index_key", F.coalesce("prev", F.lit(0)).alias("prev"))
+
+
+@query(f"SELECT stream, seq, data FROM (SELECT *, max(seq) OVER (PARTITION BY stream) AS top FROM ({CHAIN})) WHERE seq < top")
+def exchange_log_torn(spark, sf_dir):
+    """Open log files whose last byte is missing: the last record is left out."""
+    files_ = exchange.log_files(tables.conversation_logs(spark, sf_dir), seal=False)
+    torn = files_.withColumn("content", F.expr("substring(content, 1, octet_length(content) - 1)"))
+    return exchange.read_logs(torn, "DROP_TAIL").select(F.col("path").alias("stream"), "seq", F.col("data").cast("string").alias("data"))
+
+
 # Sorted tables and CSV
 
 
@@ -328,12 +545,32 @@ def kv_find(spark, sf_dir):
     return customers(spark, sf_dir).find("Customer#000000050")
 
 
+def built(spark: SparkSession, sf_dir: str) -> SortedTable:
+    path = scratch(spark, "sorted-table")
+    SortedTable.build(customers(spark, sf_dir).rows.select(F.col("key").cast("binary").alias("key"), "value"), path)
+    return SortedTable.open(spark, path)
+
+
+@query("SELECT c_name AS key, c_custkey AS value FROM customer WHERE c_name = (SELECT max(c_name) FROM customer)")
+def sorted_table_get(spark, sf_dir):
+    table = built(spark, sf_dir)
+    found = table.lookup(bytearray(table.rows.agg(F.max("key")).first()[0]))
+    return found.select(F.col("key").cast("string").alias("key"), "value")
+
+
+@query("SELECT c_name AS key, c_custkey AS value, row_number() OVER (ORDER BY c_name) AS pos FROM customer WHERE c_name >= 'Customer#00000005'")
+def sorted_table_find(spark, sf_dir):
+    found = built(spark, sf_dir).find(bytearray(b"Customer#00000005")).withColumn("id", F.substring_index(F.col("key").cast("string"), "#", -1).cast("bigint"))
+    return ordering.positions(found, [], "id", [F.asc("id")], False).select(F.col("key").cast("string").alias("key"), "value", "pos")
+
+
 @query("SELECT event_type AS type, CAST(user_id AS VARCHAR) AS host, 'x, \"y\"' AS city, CAST(event_id AS VARCHAR) AS visitor, CAST(floor(epoch(ts)) AS BIGINT) AS timestamp FROM events")
 def csv_load(spark, sf_dir):
+    """Visits through a CSV file with quotes and commas, and back from the JSON that the loader makes of each row."""
     path, e = scratch(spark, "csv"), tables.table(spark, sf_dir, "events")
     visits = e.select("event_type", F.col("user_id").cast("string"), F.lit('x, "y"'), F.col("event_id").cast("string"), tables.epoch(F.col("ts")))
     visits.write.csv(path, escape='"')
-    return spark.read.schema(tables.VISIT).option("escape", '"').csv(path)
+    return tables.read_visits(spark, path).select(F.from_json("data", tables.VISIT).alias("v")).select("v.*")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

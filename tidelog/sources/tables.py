@@ -44,8 +44,8 @@ def conversation_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_visits(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless CSV of visits with each row as JSON in ``data``."""
-    rows = spark.read.schema(VISIT).csv(path)
+    """Headerless CSV of visits with each row as JSON in ``data``; quotes within quotes are doubled, and an empty field is null."""
+    rows = spark.read.schema(VISIT).option("escape", '"').csv(path)
     return rows.withColumn("data", F.to_json(F.struct(*rows.columns)))
 
 
