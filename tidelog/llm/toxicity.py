@@ -2,20 +2,27 @@
 
 Labelled texts give two models of how words go on, letter by letter, one of toxic and one of
 ordinary text: P(next letter | word so far), with the word's end as a letter.  A count is
-the number of different documents a word is in, so that a repeated passage counts once.  Counts are discounted by a few standard errors; what the
-discount frees goes to one distribution that both classes share, the numbers of different documents
-of either class.  So a rare beginning or ending counts
-alike for both, and words that vary a known stem still show their class.
+the number of different documents a word is in, so that a repeated passage counts once.  The models are interpolated:
+
+* P_class(x | h) has the class's counts of h x, each less a discount (one standard error, at least ``DISCOUNT``);
+  what the discounts free is spread by
+* P(x | h), which both classes share: counts of either class less the Kneser-Ney discount n1 / (n1 + 2 n2), and
+* below it the continuation distributions of the last 2, 1 and 0 letters, also shared: there a
+  letter counts by the number of different words so far, then of different letters, that it follows.
+
+So a rare beginning or ending counts alike for both, a letter that a class has never seen after h costs each class
+what its own discounts have freed, and words that vary a known stem still show their class.  Words are read to their end,
+whatever their length (beyond ``LETTERS`` letters in pieces), and no count is left out.
 
 A text's score compares the log-likelihoods of its words.  A word counts as far as its
-likelihood ratio exceeds ``margin``, which leaves out what a class merely happens to say
+log-likelihood ratio exceeds ``margin``, which leaves out what a class merely happens to say
 more often; the sum, per word and per square root of the words, goes through a logistic function.
 
-Counts cover all labelled rows and are made by grouped aggregation.  The model holds
-every beginning that at least ``least`` word counts have, at every size of the corpus; beyond them both
-classes back off to the same counts.  A model of up to ``BROADCAST`` beginnings is broadcast.  A larger
-one stays a table, and the distinct words of the texts are joined to it by shuffles.  The logistic weights are fitted on at most ``calibrate``
-labelled documents that gave no counts (the documented bound).
+Counts cover all labelled rows and are made by grouped aggregation.  What a word's ratio comes to depends on its longest
+beginning that the model has.  Of the model only those beginnings that take a word beyond the margin are needed, and
+the ones that follow them: every other word has a ratio within the margin, which counts as 0.  That exact selection is broadcast up to
+``BROADCAST`` entries; a larger one stays a table, and the distinct words of the texts are joined to it by shuffles.
+The logistic weights are fitted on about ``calibrate`` labelled documents that gave no counts (the documented bound).
 
 Rows with crc32(doc_id as text) mod 5 = 0 are held out; 1 calibrates, 2 to 4 count.
 
@@ -35,17 +42,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
 DISCOUNT = 0.75
-ERRORS = 2.0
 END = " "
+#: A longer run of letters is read in pieces of so many.
+LETTERS = 64
+#: Letters of the longest shared context below the word so far.
+SHORT = 2
 FLUSH = 1_000_000
 CACHED_WORDS = 300_000
 #: Labels up to this number of rows are broadcast; more are joined by a shuffle.
 FEW_LABELS = 1_000_000
-#: Beginnings of a model that is broadcast, 16 bytes each.
+#: Entries of a model that is broadcast, 16 bytes each.
 BROADCAST = 1_000_000
 
 
@@ -55,17 +66,28 @@ def word_table() -> bytes:
 
 
 def words_of(text: str | None, table: bytes) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(table).split()
+    words = (text or "").encode("utf-8", "surrogatepass").translate(table).split()
+    if words and len(max(words, key=len)) > LETTERS:
+        words = [piece for w in words for piece in pieces(w)]
+    return words
+
+
+def pieces(word: bytes) -> list[bytes]:
+    if len(word) <= LETTERS:
+        return [word]
+    letters = word.decode("utf-8", "replace")
+    return [letters[at : at + LETTERS].encode() for at in range(0, len(letters), LETTERS)]
+
+
+def beyond(value: float, margin: float) -> float:
+    return max(value - margin, 0.0) + min(value + margin, 0.0)
 
 
 @dataclass
 class Model:
-    hashes: np.ndarray | None  # of the kept beginnings, sorted; None where they stay a table
-    steps: np.ndarray | None  # log P(toxic) - log P(ordinary) of each one's last letter
-    letters: int
-    margin: float
+    entries: dict[int, float] | None  # hash of a beginning -> how far a word that has it as the longest one exceeds the margin
     weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    table: DataFrame | None = None  # key, step
+    table: DataFrame | None = None  # key, value, where the entries are too many
 
     def score(self, a: float, b: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.weights @ np.array([1.0, a, b]), -30, 30))))
@@ -78,16 +100,16 @@ class Differences(dict):
         self.model, self.table = model, word_table()
 
     def __missing__(self, word: bytes) -> float:
-        m, letters = self.model, word.decode("utf-8", "replace") + END
-        keys = np.array([xxhash.xxh64_intdigest(letters[:n].encode(), 42) for n in range(1, min(len(letters), m.letters) + 1)], np.uint64).view(np.int64)
-        total = 0.0
-        if len(m.hashes):
-            at = np.minimum(np.searchsorted(m.hashes, keys), len(m.hashes) - 1)
-            total = float(m.steps[at][m.hashes[at] == keys].sum())
-        total = max(total - m.margin, 0.0) + min(total + m.margin, 0.0)
+        letters, find, value = word.decode("utf-8", "replace") + END, self.model.entries.get, None
+        n = len(letters)
+        while value is None and n >= 0:
+            digest = xxhash.xxh64_intdigest(letters[:n].encode(), 42)
+            value = find(digest - (1 << 64) if digest >> 63 else digest)
+            n -= 1
+        value = value or 0.0
         if len(self) < CACHED_WORDS:
-            self[word] = total
-        return total
+            self[word] = value
+        return value
 
     def features(self, text: str | None) -> tuple[float, float]:
         words = words_of(text, self.table)
@@ -98,6 +120,12 @@ class Differences(dict):
         return self.model.score(*self.features(text))
 
 
+def starts_of(word, least: int):
+    """All beginnings of a word with its end, of ``least`` letters or more."""
+    full = F.concat(word, F.lit(END))
+    return F.transform(F.sequence(F.lit(least), F.length(full)), lambda n: F.substring(full, F.lit(1), n))
+
+
 def features(rows: DataFrame, model: Model) -> DataFrame:
     """row, a, b of the rows (row, text), by joins of their distinct words with the model's table."""
 
@@ -112,12 +140,9 @@ def features(rows: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(words), pa.int64()), pa.array([n] * len(words), pa.int64()), words, times], names=["row", "n", "word", "times"])
 
     used = common.materialize(rows.select("row", "text").mapInArrow(common.lean(split), "row long, n long, word string, times long"), "toxicity-words")
-    full = F.concat("word", F.lit(END))
-    starts = F.transform(F.sequence(F.lit(1), F.least(F.length(full), F.lit(model.letters))), lambda n: F.substring(full, F.lit(1), n))
-    each = used.where("times > 0").select("word").distinct().select("word", F.explode(starts).alias("start")).select("word", F.xxhash64("start").alias("key"))
-    total = each.join(model.table, "key").groupBy("word").agg(F.sum("step").alias("d"))
-    beyond = F.greatest(F.col("d") - model.margin, F.lit(0.0)) + F.least(F.col("d") + model.margin, F.lit(0.0))
-    weight = total.select("word", beyond.alias("d")).where("d <> 0")
+    each = used.where("times > 0").select("word").distinct().select("word", F.explode(starts_of(F.col("word"), 0)).alias("start"))
+    met = each.select("word", F.length("start").alias("at"), F.xxhash64("start").alias("key")).join(model.table, "key")
+    weight = met.groupBy("word").agg(F.max_by("value", "at").alias("d")).where("d <> 0")
     sums = used.join(weight, "word", "left").groupBy("row").agg(F.first("n").alias("n"), F.coalesce(F.sum(F.col("d") * F.col("times")), F.lit(0.0)).alias("s"))
     return sums.select("row", (F.col("s") / F.col("n")).alias("a"), (F.col("s") / F.sqrt("n")).alias("b"))
 
@@ -158,29 +183,106 @@ def counted(rows: DataFrame) -> DataFrame:
     return part.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def beginnings(words: DataFrame, letters: int) -> DataFrame:
-    """start, toxic, ordinary: word counts summed for every beginning of up to ``letters`` letters, the empty one too."""
-    full = F.concat("word", F.lit(END))
-    starts = F.transform(F.sequence(F.lit(0), F.least(F.length(full), F.lit(letters))), lambda n: F.substring(full, F.lit(1), n))
-    each = words.select(F.explode(starts).alias("start"), "toxic", "ordinary")
+def beginnings(words: DataFrame) -> DataFrame:
+    """start, toxic, ordinary: word counts summed for every beginning, the empty one too."""
+    each = words.select(F.explode(starts_of(F.col("word"), 0)).alias("start"), "toxic", "ordinary")
     return each.groupBy("start").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def discounted(count):
-    return F.greatest(count - F.greatest(F.lit(DISCOUNT), ERRORS * F.sqrt(count)), F.lit(0.0))
+def shared_discount(counts: DataFrame, column: str = "n") -> float:
+    """n1 / (n1 + 2 n2), 0.5 where no count is 1."""
+    row = counts.agg(F.count_if(F.col(column) == 1).alias("n1"), F.count_if(F.col(column) == 2).alias("n2")).first()
+    return row["n1"] / (row["n1"] + 2 * row["n2"]) if row["n1"] else 0.5
+
+
+def continuations(children: DataFrame) -> DataFrame:
+    """s, x, p: how likely letter ``x`` is after the last letters ``s`` of different words so far; children: before, letter."""
+    levels, suffix = [], children.select(F.right("before", F.lit(SHORT)).alias("s"), F.col("letter").alias("x"))
+    for k in range(SHORT, -1, -1):
+        levels.append(common.materialize(suffix.groupBy("s", "x").agg(F.count("*").alias("n")), f"toxicity-continuations-{k}"))
+        suffix = levels[-1].select(F.right("s", F.lit(k - 1)).alias("s"), "x") if k else None
+    below = None
+    for level in reversed(levels):  # from no letters to the longest
+        d, context = shared_discount(level), Window.partitionBy("s")
+        sized = level.withColumns({"total": F.sum("n").over(context), "kinds": F.count("*").over(context)})
+        if below is None:
+            lower = sized.withColumn("lower", 1 / (F.col("kinds") + 1))
+        else:
+            # the last letters without the first of them; a whole short word so far stays as it is
+            sized = sized.withColumn("under", F.when(F.length("s") > below[1], F.right("s", F.lit(below[1]))).otherwise(F.col("s")))
+            lower = sized.join(below[0].select(F.col("s").alias("under"), "x", F.col("p").alias("lower")), ["under", "x"])
+        p = (F.greatest(F.col("n") - d, F.lit(0.0)) + d * F.col("kinds") * F.col("lower")) / F.col("total")
+        below = (lower.select("s", "x", p.alias("p")), 0 if below is None else below[1] + 1)
+    return below[0]
 
 
-def steps(starts: DataFrame) -> DataFrame:
-    """start, step: the difference of the two models' log-probabilities of its last letter."""
-    children = starts.where("start <> ''").withColumn("before", F.substring("start", F.lit(1), F.length("start") - 1))
-    children = children.withColumns({"dt": discounted(F.col("toxic")), "do": discounted(F.col("ordinary"))})
-    contexts = children.groupBy("before").agg(F.sum("toxic").alias("nt"), F.sum("ordinary").alias("no"), F.sum("dt").alias("st"), F.sum("do").alias("so"))
-    shared = (F.col("toxic") + F.col("ordinary")) / (F.col("nt") + F.col("no"))
+def discounted(count):
+    return F.greatest(count - F.greatest(F.lit(DISCOUNT), F.sqrt(count)), F.lit(0.0))
 
-    def p(kept: str, total: str, count: str):
-        return F.when(F.col(count) == 0, shared).otherwise((F.col(kept) + (F.col(count) - F.col(total)) * shared) / F.col(count))
 
-    return children.join(contexts, "before").select("start", (F.col("toxic") + F.col("ordinary")).alias("n"), F.log(p("dt", "st", "nt") / p("do", "so", "no")).alias("step"))
+def steps(starts: DataFrame) -> DataFrame:
+    """start, step, leave: the difference of the two models' log-probabilities of its last letter, and of any letter not seen in its place."""
+    children = starts.where("start <> ''").select("start", "toxic", "ordinary", (F.col("toxic") + F.col("ordinary")).alias("n"), F.substring("start", F.lit(1), F.length("start") - 1).alias("before"), F.right("start", F.lit(1)).alias("letter"))
+    d = shared_discount(children)
+    likely = continuations(children)
+    rows = children.withColumns({"s": F.right("before", F.lit(SHORT)), "x": F.col("letter"), "dt": discounted(F.col("toxic")), "do": discounted(F.col("ordinary"))})
+    rows = rows.join(likely, ["s", "x"]).drop("s", "x", "letter")
+    contexts = children.select("before", "toxic", "ordinary", "n", discounted(F.col("toxic")).alias("dt"), discounted(F.col("ordinary")).alias("do"))
+    contexts = contexts.groupBy("before").agg(F.sum("toxic").alias("nt"), F.sum("ordinary").alias("no"), F.sum("dt").alias("st"), F.sum("do").alias("so"), F.count("*").alias("kinds"))
+    freed = {c: F.when(F.col(n) == 0, 1.0).otherwise(1 - F.col(k) / F.col(n)) for c, n, k in (("ft", "nt", "st"), ("fo", "no", "so"))}
+    rows = rows.join(contexts.withColumns(freed), "before")
+    shared = (F.greatest(F.col("n") - d, F.lit(0.0)) + d * F.col("kinds") * F.col("p")) / (F.col("nt") + F.col("no"))
+
+    def probability(kept: str, count: str, free: str):
+        return F.when(F.col(count) == 0, 0.0).otherwise(F.col(kept) / F.col(count)) + F.col(free) * F.col("shared")
+
+    rows = rows.withColumn("shared", shared)
+    tiny = F.lit(1e-9)
+    return rows.select("start", F.log(probability("dt", "nt", "ft") / probability("do", "no", "fo")).alias("step"), F.log(F.greatest(F.col("ft"), tiny) / F.greatest(F.col("fo"), tiny)).alias("leave"))
+
+
+def selected(rows: DataFrame, margin: float) -> DataFrame:
+    """key, value: the beginnings (start, step, leave) that take a word beyond the margin and those that follow one of them.
+
+    Rows are sorted in ranges; a beginning stands before all that go on from it, so that the sum of the steps
+    to each needs a stack as long as a word.  What a range's first rows need from before is
+    looked up for the ranges' first beginnings alone.
+    """
+    spark = rows.sparkSession
+    parts = 2 * common.partitions(spark)
+    ranged = common.materialize(rows.repartitionByRange(parts, "start").withColumn("part", F.spark_partition_id()), "toxicity-steps")
+    heads = ranged.groupBy("part").agg(F.min("start").alias("head"))  # one row a range
+    needed = heads.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("head")), lambda n: F.substring("head", F.lit(1), n))).alias("start")).distinct()
+    known = common.Shared(spark, {r["start"]: r["step"] for r in ranged.join(F.broadcast(needed), "start").select("start", "step").collect()})
+    schema = pa.schema([("start", pa.string()), ("value", pa.float64())])
+
+    def walk(stream):
+        before, part, path, sums = known.load(), None, "", [0.0]
+        for batch in stream:
+            out = {f.name: [] for f in schema}
+            for own, start, step, leave in zip(*[batch[c].to_pylist() for c in ("part", "start", "step", "leave")], strict=True):
+                parent = start[:-1]
+                if own != part or len(sums) < len(start):
+                    sums = [0.0]
+                    for n in range(1, len(parent) + 1):
+                        sums.append(sums[-1] + before[start[:n]])
+                    part = own
+                else:
+                    del sums[len(start) :]
+                sums.append(sums[-1] + step)
+                left = beyond(sums[-2] + leave, margin)
+                if left:
+                    out["start"] += [parent, start]
+                    out["value"] += [left, 0.0]
+                if start[-1] == END:
+                    whole = beyond(sums[-1], margin)
+                    if whole:
+                        out["start"].append(start)
+                        out["value"].append(whole)
+            yield common.batches(out, schema)
+
+    found = ranged.repartition(parts, "part").sortWithinPartitions("part", "start").select("part", "start", "step", "leave").mapInArrow(common.lean(walk), "start string, value double")
+    return found.groupBy(F.xxhash64("start").alias("key")).agg(F.max_by("value", F.abs("value")).alias("value"))
 
 
 def columns(df: DataFrame) -> list[np.ndarray]:
@@ -195,27 +297,26 @@ def train(
     doc_id: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    letters: int = 8,
-    margin: float = 1.5,
-    least: int = 2,
+    margin: float = 2.0,
     calibrate: int = 20_000,
     broadcast: int = BROADCAST,
 ) -> Model | None:
     rows = labelled(docs, labels, doc_id, text, label)
-    starts = common.materialize(beginnings(counted(rows.where("fold > 1")), letters), "toxicity-beginnings")
+    starts = common.materialize(beginnings(counted(rows.where("fold > 1"))), "toxicity-beginnings")
     total = starts.where("start = ''").first()
     if total is None or not total["toxic"] or not total["ordinary"]:
         return None
-    kept = steps(starts).where((F.col("n") >= least) & (F.abs("step") > 1e-4)).select(F.xxhash64("start").alias("key"), "step")
-    kept = common.materialize(kept, "toxicity-model")
+    kept = common.materialize(selected(steps(starts), margin), "toxicity-model")
     if kept.count() > broadcast:
-        model = Model(None, None, letters, margin, table=kept)
+        model = Model(None, table=kept)
     else:
-        key, step = columns(kept)
-        order = np.argsort(key)
-        model = Model(key[order], step[order], letters, margin)
+        key, value = columns(kept)
+        model = Model(dict(zip(key.tolist(), value.tolist(), strict=True)))
 
-    held = rows.where("fold = 1").select("text", "toxic", F.xxhash64("text", F.lit("calibrate")).alias("order")).orderBy("order").limit(calibrate)
+    held = rows.where("fold = 1").select("text", "toxic")
+    n = held.count()
+    part = F.pmod(F.xxhash64("text", F.lit("calibrate")), F.lit(1 << 30)) / float(1 << 30)
+    held = held.where(part < min(1.0, calibrate / max(n, 1))) if n > calibrate else held
     if model.table is not None:
         sample = common.materialize(held.select("toxic", "text", F.monotonically_increasing_id().alias("row")), "toxicity-calibrate")
         y, a, b = columns(sample.join(features(sample, model), "row").select("toxic", "a", "b"))
