@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -12,8 +14,11 @@ from .helpers import rows_of, table
 def brute(rows):
     """Versions by plain Python; likeness from multisets of paragraphs."""
 
+    def split(text):
+        return Counter(p for line in text.split("\n") for p in (re.split(r"(?<=[.!?]) ", line) if len(line) > sketch.LONG else [line]))
+
     def like(a, b):
-        x, y = Counter(a.split("\n")), Counter(b.split("\n"))
+        x, y = split(a), split(b)
         return sum((x & y).values()) / sum((x | y).values())
 
     order = sorted([(i, t or "") for i, t in rows], key=lambda r: -(10**19) if r[0] is None else r[0], reverse=True)
@@ -65,6 +70,25 @@ def test_peeling_recovers_counts_and_reports_failure(spark):
             assert (r["only_a"], r["only_b"]) == (90, 30)
 
 
+def test_texts_of_many_paragraphs_take_seconds(spark):
+    rng = random.Random(4)
+    rows = [(k, "\n".join(f"{rng.randrange(30_000)} line" for _ in range(50_000))) for k in range(2)]
+    df = table(spark, rows).repartition(1)
+    began = time.perf_counter()
+    got = rows_of(sketch.versions(df))
+    took = time.perf_counter() - began
+    check(got, rows)
+    assert took < 60
+
+
+def test_digests_are_compared_where_every_sketch_gets_stuck(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "RETRIES", 1)
+    monkeypatch.setattr(sketch, "CELLS", 1)
+    monkeypatch.setattr(sketch, "ROUNDS", 1)
+    rows = [(1, "\n".join(str(i) for i in range(300))), (2, "\n".join(str(i) for i in range(200, 900))), (3, "x. y. " * 100)]
+    check(rows_of(sketch.versions(table(spark, rows))), rows)
+
+
 def test_no_python_on_executors(spark, sf_dir):
     plan = sketch.versions(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "SinglePartition"))

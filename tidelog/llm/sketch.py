@@ -1,12 +1,15 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.  DataFrame functions only.
 
-A text's paragraphs (split at line feeds) become 64-bit digests, a repeated paragraph one for each
+A text's paragraphs (split at line feeds, those of more than ``LONG`` characters also after the ends of sentences) become
+64-bit digests, a repeated paragraph one for each
 occurrence.  A sketch has three subtables; every digest is in one cell of each.  A cell
 holds the number of its digests, their XOR, and the XOR of a check value.  Two
 sketches are compared by subtracting cells and peeling: a cell with one digest left
 reveals it, and its removal opens other cells.  When peeling gets stuck, both
-texts are sketched four times as large and peeled again.  The recovered digests are
-exactly the paragraphs that only one of the texts has.
+texts are sketched sixteen times as large and peeled again.  The recovered digests are
+exactly the paragraphs that only one of the texts has; if the largest sketches get stuck too, the digests themselves are compared.
+
+Work on a text is sorting and passes over arrays, so it grows with n log n in its paragraphs.
 
 Defined cases: a null text is empty; an empty text has one empty paragraph; equal texts have equal sketches;
 a null doc_id sorts below every other id; rows with the same id follow each other in an order set by
@@ -26,8 +29,11 @@ from . import common
 
 #: Cells of a subtable of the fingerprint.
 CELLS = 12
-#: A retry has four times the cells of the attempt before.
-RETRIES = 11
+#: A longer paragraph is split after the ends of its sentences.
+LONG = 240
+#: A retry has so many times the cells of the attempt before; only those in use are kept.
+GROWTH = 16
+RETRIES = 5
 ROUNDS = 64
 CHECK = 1 << 32
 
@@ -37,10 +43,33 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def run_starts(values: Column, field: str | None = None) -> Column:
+    """Where the runs of equal values of a sorted array begin."""
+
+    def at(i: Column) -> Column:
+        return values[i] if field is None else values[i][field]
+
+    places = F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(values) - 1))
+    return F.filter(places, lambda i: (i == 0) | (at(i) != at(F.greatest(i - 1, F.lit(0)))))
+
+
+def runs(values: Column, field: str | None, body) -> Column:
+    """``body(start, length)`` of every run of a sorted array."""
+    return let(
+        run_starts(values, field),
+        lambda starts: F.transform(starts, lambda at, k: body(at, F.coalesce(F.get(starts, k + 1), F.size(values)) - at)),
+    )
+
+
+def paragraphs(text: Column) -> Column:
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    return F.flatten(F.transform(lines, lambda p: F.when(F.length(p) > LONG, F.split(p, "(?<=[.!?]) ")).otherwise(F.array(p))))
+
+
 def digests(text: Column) -> Column:
     """One distinct 64-bit digest per paragraph occurrence."""
-    plain = F.sort_array(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.xxhash64(p)))
-    return let(plain, lambda s: F.transform(s, lambda x, i: F.xxhash64(x, i - F.array_position(s, x).cast("int"))))
+    plain = F.sort_array(F.transform(paragraphs(text), lambda p: F.xxhash64(p)))
+    return let(plain, lambda s: F.flatten(runs(s, None, lambda at, n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.xxhash64(s[at], k)))))
 
 
 def check(x: Column) -> Column:
@@ -64,19 +93,8 @@ def merged(entries: Column) -> Column:
             )
         )
 
-    def group(sorted_: Column) -> Column:
-        return let(
-            F.struct(sorted_.alias("s"), sorted_["i"].alias("all"), F.array_distinct(sorted_["i"]).alias("own")),
-            lambda g: F.transform(
-                g["own"],
-                lambda i, k: let(
-                    F.array_position(g["all"], i).cast("int"),
-                    lambda at: let(
-                        F.slice(g["s"], at, F.coalesce(F.array_position(g["all"], F.get(g["own"], k + 1)).cast("int"), F.size(g["all"]) + 1) - at), cell
-                    ),
-                ),
-            ),
-        )
+    def group(s: Column) -> Column:
+        return runs(s, "i", lambda at, n: let(F.slice(s, at + 1, n), cell))
 
     return F.filter(let(F.sort_array(entries), group), lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["h"] != 0))
 
@@ -107,7 +125,9 @@ def peel(diff: Column, size: Column) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["h"] == check(c["x"])))
-        pure = F.array_distinct(F.transform(single, lambda c: F.struct(c["x"].alias("x"), c["n"].alias("n"))))
+        # a digest may be alone in up to three cells
+        found = F.sort_array(F.transform(single, lambda c: F.struct(c["x"].alias("x"), c["n"].alias("n"))))
+        pure = let(found, lambda f: runs(f, "x", lambda at, _: f[at]))
         return F.when(~state["more"], state).otherwise(
             let(pure, lambda p: F.when(F.size(p) == 0, state_of(state["cells"], state["a"], state["b"], F.lit(False))).otherwise(remove(state, p)))
         )
@@ -121,13 +141,17 @@ def peel(diff: Column, size: Column) -> Column:
 
 
 def compared(a: Column, b: Column, keys_a: Column, keys_b: Column, size: int = CELLS) -> Column:
-    """(done, only_a, only_b) from two sketches, larger ones being made from the digests where peeling fails."""
+    """(done, only_a, only_b) from two sketches, larger ones being made from the digests where peeling fails, and in the end the digests compared."""
 
     def again(state: Column, t: Column) -> Column:
-        larger = (F.lit(size) * F.pow(F.lit(4.0), t)).cast("int")
+        larger = (F.lit(size) * F.pow(F.lit(float(GROWTH)), t)).cast("int")
         return F.when(state["done"], state).otherwise(let(larger, lambda s: peel(difference(cells(keys_a, s), cells(keys_b, s)), s)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), peel(difference(a, b), F.lit(size)), again)
+    def settled(state: Column) -> Column:
+        only = F.struct(F.lit(True).alias("done"), F.size(F.array_except(keys_a, keys_b)).alias("only_a"), F.size(F.array_except(keys_b, keys_a)).alias("only_b"))
+        return F.when(state["done"], state).otherwise(only)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), peel(difference(a, b), F.lit(size)), again, settled)
 
 
 def likeness(found: Column, size_a: Column, size_b: Column) -> Column:
@@ -135,7 +159,7 @@ def likeness(found: Column, size_a: Column, size_b: Column) -> Column:
 
     def share(f: Column) -> Column:
         apart, total = f["only_a"] + f["only_b"], size_a + size_b
-        return F.when(f["done"], (total - apart) / (total + apart)).otherwise(F.lit(0.0))
+        return (total - apart) / (total + apart)
 
     return let(found, share)
 
