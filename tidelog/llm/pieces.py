@@ -1,23 +1,27 @@
-"""SentencePiece encoding and decoding as a max-plus parallel scan.
+"""SentencePiece encoding and decoding; giant documents by a max-plus parallel scan.
 
-A text is segmented into the vocabulary's pieces with the greatest sum of
-scores.  A document longer than ``chunk`` characters is cut at fixed places.  Every
-chunk yields a transfer matrix in the max-plus semiring: row s, column t holds the best
-score of going from a token that ended s characters into the chunk to one that ends t characters beyond it.  The
-matrices are combined associatively in order, which fixes the states at all
-cuts; every chunk is then traced back on its own between its two states.
+The ids are those of the model file's own library, for unigram and for merge models.  A document of less than ``chunk``
+characters is encoded by the library.  A longer one is cut at fixed places, and every chunk is worked on by itself:
+
+1. A state at a cut is the token that ends there or goes across it.  A chunk's transfer matrix holds, for every state at its
+   start and at its end, the greatest weight of the ways between them, in the max-plus semiring.  In a
+   unigram model a token weighs its score.  A merge model's segmentation is the one in which every two neighbours are
+   what merging makes of the two together; there ways weigh 0 if all their neighbours are so, and minus infinity otherwise.
+2. The matrices are combined associatively: pairwise in a tree inside blocks of ``BLOCK`` chunks, then over
+   a document's blocks.  That fixes the states at the blocks' ends, and inside the blocks those at all cuts.
+3. Every chunk is traced back on its own between its two states.
 
 No piece holds a space mark after another character, so that every such place, a word start, is a
-node of all segmentations: a matrix is the best way to the first word start, the sum over
-whole words, and the best ways from the last one.  Only a chunk without a word start takes the full recurrence.  Of equal segmentations
-the one with the longer last token is taken; at a cut, the one that ends earlier.
+node of all segmentations: where a chunk has one, a matrix is the sum of a column up to the first and a row from the last
+(what lies between adds the same to all ways), and the words between are the library's.  Only a chunk without a
+word start takes the full recurrence.
 
 Decoding joins the pieces, turns space marks into spaces and byte pieces into bytes,
 and drops the leading space that encoding adds.
 
 Defined cases: a null or empty text has no tokens; characters without a piece become their UTF-8
 bytes; a space mark in a text decodes to a space; rows are encoded each for
-itself, repeated ids included; other columns are ignored; an empty table gives an empty result.
+itself, repeated ids included, null ids are kept; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,13 +39,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MARK = "▁"
+MARK = "\u2581"
+# Fixed values of the model file.
 NORMAL, BYTE = 1, 6
-NEVER = -(2**60)
-CACHED_WORDS = 500_000
+UNIGRAM, MERGES = 1, 2
+UNKNOWN_PENALTY = 10.0
+NEVER = -np.inf
+CACHED_PAIRS = 500_000
 #: Documents that a task hands on at a time.
 ROWS_AT_ONCE = 256
-CACHED_LENGTH = 64
+#: Chunks whose matrices one task combines.
+BLOCK = 64
 
 
 def message(raw: bytes):
@@ -66,107 +74,84 @@ def message(raw: bytes):
         yield key >> 3, value
 
 
-class Vocabulary(dict):
-    """The pieces of a model file; as a dictionary, the ids of words met before, while there is room."""
+class Vocabulary:
+    """The pieces of a model file, and its library."""
 
     def __init__(self, path: str):
+        import sentencepiece
+
         with open(path, "rb") as f:
             raw = f.read()
-        self.score: dict[str, tuple] = {}
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        self.score: dict[str, float] = {}
+        self.id: dict[str, int] = {}
         self.bytes: dict[int, int] = {}
         self.shown: list[bytes] = []
+        self.kind = UNIGRAM
         for n, value in message(raw):
+            if n == 2:
+                self.kind = dict(message(value)).get(3, UNIGRAM)
+            if n == 3 and dict(message(value)).get(1, b"identity") != b"identity":
+                raise ValueError("texts would be changed before they are encoded")
             if n != 1:
                 continue
             item = dict(message(value))
             piece, kind = item[1].decode(), item.get(3, NORMAL)
-            score = int(struct.unpack("<f", item.get(2, b"\0\0\0\0"))[0])
             if kind == NORMAL:
-                self.score[piece] = (score, len(self.shown))
+                self.score[piece], self.id[piece] = struct.unpack("<f", item.get(2, b"\0\0\0\0"))[0], len(self.shown)
             if kind == BYTE:
                 self.bytes[int(piece[3:5], 16)] = len(self.shown)
             self.shown.append(bytes([int(piece[3:5], 16)]) if kind == BYTE else piece.replace(MARK, " ").encode() if kind == NORMAL else b"")
-        self.longest = max(map(len, self.score))
+        if self.kind not in (UNIGRAM, MERGES):
+            raise ValueError("neither a unigram nor a merge model")
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece spans a word start")
-        self.begins = {p[:n] for p in self.score for n in range(1, len(p))}
-        self.score = {p: (*found, p in self.begins) for p, found in self.score.items()}  # score, id, whether longer pieces go on
-
-    def tokens(self, text: str, at: int):
-        """(length, score) of the tokens that may start at a place; a character without a piece is one token of score 0."""
-        single = False
-        for n in range(1, min(self.longest, len(text) - at) + 1):
-            found = self.score.get(text[at : at + n])
-            if found:
-                yield n, found[0]
-                single = single or n == 1
-        if not single:
-            yield 1, 0
-
-    def ways(self, text: str, start: int, nodes: int):
-        """Best scores from ``start``: of ending at places up to ``nodes``, and of tokens from below ``nodes`` that end there or beyond."""
-        best, back = {start: 0}, {}
-        for at in range(start, nodes):
-            here = best.get(at)
-            if here is None:
-                continue
-            for n, score in self.tokens(text, at):
-                end, total = at + n, here + score
-                # an earlier start is met first: of equal ways the longer last token stays
-                if end not in best or total > best[end]:
-                    best[end], back[end] = total, at
-        return best, back
-
-    def trace(self, text: str, start: int, end: int, back) -> bytes:
-        parts = []
-        while end > start:
-            at = back[end]
-            parts.append(text[at:end])
-            end = at
-        ids = []
-        for part in reversed(parts):
-            found = self.score.get(part)
-            if found:
-                ids.append(found[1])
-            else:
-                ids += [self.bytes[x] for x in part.encode("utf-8", "surrogatepass")]
-        return array.array("I", ids).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        """Ids of a word: the recurrence of ``ways`` over one short string."""
-        find, begins, n = self.score.get, self.begins, len(word)
-        best, back = [NEVER] * (n + 1), [0] * (n + 1)
-        best[0] = 0
-        for at in range(n):
-            here, known = best[at], False
-            if here == NEVER:
-                continue
-            for end in range(at + 1, n + 1):
-                part = word[at:end]
-                found = find(part)
-                if found is None:
-                    if part not in begins:
-                        break
-                    continue
-                known = known or end == at + 1
-                total = here + found[0]
-                if total > best[end]:
-                    best[end], back[end] = total, at
-                if not found[2]:
-                    break
-            if not known and here > best[at + 1]:
-                best[at + 1], back[at + 1] = here, at
-        ids = self.trace(word, 0, n, back)
-        if len(self) < CACHED_WORDS and n <= CACHED_LENGTH:
-            self[word] = ids
-        return ids
-
-    def word_score(self, word: str) -> int:
-        return self.ways(word, 0, len(word))[0][len(word)]
-
-    def encode(self, marked: str) -> bytes:
-        """Ids of a text that starts at a word start, spaces already marked."""
-        return b"".join(map(self.__getitem__, split_words(marked)))
+        self.longest = max(map(len, self.score))
+        self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
+        self.pairs: dict[tuple[str | None, str], bool] = {}
+
+    def merged(self, text: str) -> list[str]:
+        """A short text by merges: of all neighbours that make a piece those with the best score, the first of several."""
+        parts = list(text)
+        while True:
+            best, at = None, 0
+            for k in range(len(parts) - 1):
+                score = self.score.get(parts[k] + parts[k + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, k
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def fits(self, before: str | None, token: str) -> bool:
+        """Whether a token may follow another one, or begin a word."""
+        if self.kind == UNIGRAM:
+            return True
+        found = self.pairs.get((before, token))
+        if found is None:
+            found = self.merged((before or "") + token) == ([before] if before else []) + [token]
+            if len(self.pairs) < CACHED_PAIRS:
+                self.pairs[before, token] = found
+        return found
+
+    def weight(self, token: str) -> float:
+        return 0.0 if self.kind == MERGES else self.score.get(token, self.unknown)
+
+    def tokens(self, text: str, at: int) -> list[str]:
+        """What may start at a place: pieces, and the single character."""
+        found = [text[at : at + n] for n in range(1, min(self.longest, len(text) - at) + 1)]
+        return [t for t in found if len(t) == 1 or t in self.score]
+
+    def ids(self, tokens: list[str]) -> list[int]:
+        out = []
+        for token in tokens:
+            known = self.id.get(token)
+            out += [known] if known is not None else [self.bytes[b] for b in token.encode("utf-8", "surrogatepass")]
+        return out
+
+    def encode(self, text: str) -> bytes:
+        """The library's ids of a text."""
+        return array.array("I", self.library.encode(text)).tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         shown = self.shown
@@ -174,79 +159,126 @@ class Vocabulary(dict):
         return out[1:] if out[:1] == b" " else out
 
 
-def split_words(marked: str) -> list[str]:
-    """Cut before every run of space marks."""
-    if MARK + MARK in marked:
-        return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked)
-    head, *rest = marked.split(MARK)
-    return ([head] if head else []) + [MARK + w for w in rest]
-
-
 def mark(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def word_starts(marked: str, size: int) -> tuple[int, int]:
-    """The first and last word start after another character among the first ``size`` characters, or -1."""
-    found = re.search(f"(?<=[^{MARK}]){MARK}", marked[:size])
-    if not found:
+def word_starts(text: str, low: int, high: int) -> tuple[int, int]:
+    """The first and last space mark after another character at a place from ``low`` to ``high`` - 1, or -1."""
+    found = re.compile(f"(?<=[^{MARK}]){MARK}").search(text, low, high)
+    if not found and not (low and low < high and text[low] == MARK and text[low - 1] != MARK):
         return -1, -1
-    last = size
+    first = low if low and text[low] == MARK and text[low - 1] != MARK else found.start()
+    last = high
     while True:
-        last = marked.rfind(MARK, 0, last)
-        if marked[last - 1] != MARK:
-            return found.start(), last
-
-
-def transfer(v: Vocabulary, text: str, size: int) -> np.ndarray:
-    """Transfer matrix of a chunk: ``text`` is the chunk's ``size`` characters and those its last token may reach."""
-    m = v.longest
-    out = np.full((m, m), NEVER, np.int64)
-    first, last = word_starts(text, size)
+        last = text.rfind(MARK, 0, last)
+        if text[last - 1] != MARK:
+            return first, last
+
+
+def states_at(v: Vocabulary, text: str, cut: int) -> list[tuple[int, int]]:
+    """Characters before and after a cut of the tokens that end there or go across it."""
+    out = []
+    for before in range(1, min(v.longest, cut) + 1):
+        for after in range(min(v.longest - before, len(text) - cut) + 1):
+            if before + after == 1 or text[cut - before : cut + after] in v.score:
+                out.append((before, after))
+    return out
 
-    def exits(start: int) -> np.ndarray:
-        best, _ = v.ways(text, start, size)
-        return np.array([best.get(size + t, NEVER) for t in range(m)], np.int64)
 
-    if first < 0:
-        for s in range(min(m, size + 1)):  # a last chunk may be shorter than a token
-            out[s] = exits(s)
+def ways(v: Vocabulary, text: str, start: int, before: str | None, stop: int) -> dict[int, dict[str, tuple[float, str | None]]]:
+    """Place -> last token -> (greatest weight, token before it), by tokens that start below ``stop``."""
+    nodes: dict[int, dict] = {start: {before: (0.0, None)}}
+    for at in range(start, stop):
+        here = nodes.get(at)
+        if not here:
+            continue
+        for token in v.tokens(text, at):
+            best, source = NEVER, None
+            for last, (weight, _) in here.items():
+                if weight > best and v.fits(last, token):
+                    best, source = weight, last
+            if best > NEVER:
+                nodes.setdefault(at + len(token), {})[token] = (best + v.weight(token), source)
+    return nodes
+
+
+def trace(nodes: dict, start: int, end: int, token: str | None) -> list[str]:
+    """The tokens from ``start`` to ``end``, the last of which is ``token``."""
+    out = []
+    while end > start:
+        out.append(token)
+        end, token = end - len(token), nodes[end][token][1]
+    return out[::-1]
+
+
+class Chunk:
+    """``size`` characters of a text from the place ``lead`` on, with those that tokens across its ends reach."""
+
+    def __init__(self, v: Vocabulary, text: str, lead: int, size: int):
+        self.v, self.text, self.low, self.high = v, text, lead, lead + size
+        self.entries: list = states_at(v, text, lead) if lead else [None]
+        self.exits = states_at(v, text, self.high)
+        self.first, self.last = word_starts(text, self.low, self.high)
+
+    def token(self, state, cut: int) -> str | None:
+        return None if state is None else self.text[cut - state[0] : cut + state[1]]
+
+    def start(self, entry) -> int:
+        return self.low + (entry[1] if entry else 0)
+
+    def left(self, entry, stop: int) -> dict:
+        return ways(self.v, self.text, self.start(entry), self.token(entry, self.low), stop)
+
+    def leave(self, nodes: dict) -> list[float]:
+        """The weights of the exits; a token that was there before the chunk is an exit too if it fills the chunk."""
+        out = []
+        for state in self.exits:
+            out.append(nodes.get(self.high + state[1], {}).get(self.token(state, self.high), (NEVER, None))[0])
         return out
-    middle = sum(v.word_score(w) for w in split_words(text[first:last]))
-    right = exits(last)
-    for s in range(min(m, first + 1)):
-        way = v.ways(text, s, first)[0].get(first)
-        if way is not None:
-            out[s] = np.where(right > NEVER, way + middle + right, NEVER)
-    return out
+
+    def matrix(self) -> np.ndarray:
+        if self.first < 0:
+            return np.array([self.leave(self.left(e, self.high)) for e in self.entries]).reshape(len(self.entries), len(self.exits))
+        column = [max((w for w, _ in self.left(e, self.first).get(self.first, {}).values()), default=NEVER) for e in self.entries]
+        row = self.leave(ways(self.v, self.text, self.last, None, self.high))
+        return np.array(column)[:, None] + np.array(row)[None, :]
+
+    def encode(self, s: int, t: int) -> bytes:
+        """Ids of the tokens that start in the chunk, between its states."""
+        v, entry, exit_ = self.v, self.entries[s], self.exits[t]
+        end, token = self.high + exit_[1], self.token(exit_, self.high)
+        if self.first < 0:
+            nodes = self.left(entry, self.high)
+            return array.array("I", v.ids(trace(nodes, self.start(entry), end, token))).tobytes()
+        nodes = self.left(entry, self.first)
+        final = nodes[self.first]
+        out = v.ids(trace(nodes, self.start(entry), self.first, max(final, key=lambda k: final[k][0])))
+        if self.last > self.first:
+            out += v.library.encode(self.text[self.first + 1 : self.last].replace(MARK, " "))
+        nodes = ways(v, self.text, self.last, None, self.high)
+        return array.array("I", out + v.ids(trace(nodes, self.last, end, token))).tobytes()
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product."""
-    return np.maximum((a[:, :, None] + b[None, :, :]).max(1), NEVER)
-
+    return (a[:, :, None] + b[None, :, :]).max(1)
 
-def states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at every cut of the best way from state 0 to state 0."""
-    prefix = [matrices[0][:1]]
-    for m in matrices[1:]:
-        prefix.append(combine(prefix[-1], m))
-    cuts = [0]
-    for k in range(len(matrices) - 1, 0, -1):
-        cuts.append(int(np.argmax(prefix[k - 1][0] + matrices[k][:, cuts[-1]])))
-    return [0, *cuts[::-1]]
 
+def tree(matrices: list[np.ndarray]) -> np.ndarray:
+    """The product of matrices, by pairs of pairs."""
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[k : k + 2]) if k + 1 < len(matrices) else matrices[k] for k in range(0, len(matrices), 2)]
+    return matrices[0]
 
-def encode_chunk(v: Vocabulary, text: str, size: int, s: int, t: int) -> bytes:
-    """Ids of the tokens that start in a chunk, between the states at its cuts."""
-    first, last = word_starts(text, size)
-    if first < 0 or s > first:
-        return v.trace(text, s, size + t, v.ways(text, s, size)[1])
-    left = v.trace(text, s, first, v.ways(text, s, first)[1])
-    return left + v.encode(text[first:last]) + v.trace(text, last, size + t, v.ways(text, last, size)[1])
 
-
-ROWS = "row string, doc_id long, n_chars long, chunk int, size int, text string"
+def cuts_between(matrices: list[np.ndarray], s: int, t: int) -> list[int]:
+    """The states at all cuts of the best way from state ``s`` before the first matrix to ``t`` after the last: the middle is fixed first, then each half."""
+    if len(matrices) == 1:
+        return [s, t]
+    half = len(matrices) // 2
+    middle = int(np.argmax(tree(matrices[:half])[s] + tree(matrices[half:])[:, t]))
+    return cuts_between(matrices[:half], s, middle) + cuts_between(matrices[half:], middle, t)[1:]
 
 
 SUMMARY = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string())])
@@ -268,7 +300,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     def whole(stream):
         v = Vocabulary(vocabulary)
         for doc_ids, texts in portions(stream):
-            cells = [doc_ids, list(map(len, texts)), [v.encode(mark(t)) for t in texts]]
+            cells = [doc_ids, list(map(len, texts)), [v.encode(t) for t in texts]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, ENCODED, strict=True)], schema=ENCODED)
 
     return short.mapInArrow(common.lean(whole), "doc_id long, n_chars long, ids binary").unionByName(scanned(long, vocabulary, chunk))
@@ -288,52 +320,78 @@ def portions(stream):
             yield part["doc_id"].to_pylist(), part["text"].to_pylist()
 
 
+def packed(m: np.ndarray) -> bytes:
+    return struct.pack("<i", m.shape[1]) + m.astype("<f8").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    (width,) = struct.unpack_from("<i", raw)
+    return np.frombuffer(raw, "<f8", offset=4).reshape(-1, width)
+
+
 def scanned(long: DataFrame, vocabulary: str, chunk: int) -> DataFrame:
     """The long documents' ids by the parallel scan."""
-    chunks = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("chunk", pa.int32()), ("size", pa.int32()), ("text", pa.string())])
+    chunks = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("chunk", pa.int32()), ("lead", pa.int32()), ("size", pa.int32()), ("text", pa.string())])
+    columns = "row string, doc_id long, n_chars long, chunk int, lead int, size int, text string"
 
     def deal(stream):
         import uuid
 
         reach = Vocabulary(vocabulary).longest
+        if chunk < 2 * reach:
+            raise ValueError("a chunk must be longer than two tokens")
         for batch in stream:
-            for ident, body_ in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                body_, row = body_.as_py(), uuid.uuid4().hex
-                marked = mark(body_)
+            for ident, body in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                body, row = body.as_py(), uuid.uuid4().hex
+                marked = mark(body)
                 for k, at in enumerate(range(0, len(marked), chunk)):
-                    cells = (row, ident, len(body_), k, min(chunk, len(marked) - at), marked[at : at + chunk + reach])
+                    lead = min(at, 2 * reach)
+                    cells = (row, ident, len(body), k, lead, min(chunk, len(marked) - at), marked[at - lead : at + chunk + reach])
                     yield common.batches({n: [c] for n, c in zip(chunks.names, cells, strict=True)}, chunks)
 
-    parts = common.materialize(long.mapInArrow(common.lean(deal), ROWS), "pieces-chunks")
+    parts = common.materialize(long.mapInArrow(common.lean(deal), columns), "pieces-chunks")
 
     def measure(stream):
         v = Vocabulary(vocabulary)
         for batch in stream:
-            found = [transfer(v, t, n).tobytes() for t, n in zip(batch["text"].to_pylist(), batch["size"].to_pylist(), strict=True)]
+            found = [packed(Chunk(v, *cells).matrix()) for cells in zip(*[batch[c].to_pylist() for c in ("text", "lead", "size")], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["row"], batch["chunk"], pa.array(found, pa.binary())], names=["row", "chunk", "matrix"])
 
-    def scan(table: pa.Table) -> pa.Table:
+    matrices = common.materialize(parts.select("row", "chunk", "lead", "size", "text").mapInArrow(common.lean(measure), "row string, chunk int, matrix binary"), "pieces-matrices")
+    blocks = matrices.withColumn("block", F.floor(F.col("chunk") / BLOCK).cast("int"))
+
+    def product(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")
+        return pa.table({"row": table["row"].slice(0, 1), "block": table["block"].slice(0, 1), "matrix": pa.array([packed(tree([unpacked(m) for m in table["matrix"].to_pylist()]))], pa.binary())})
+
+    def between(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        found = [unpacked(m) for m in table["matrix"].to_pylist()]
+        cuts = cuts_between(found, 0, int(np.argmax(tree(found)[0])))
+        return pa.table({"row": table["row"], "block": table["block"], "s": pa.array(cuts[:-1], pa.int32()), "t": pa.array(cuts[1:], pa.int32())})
+
+    def inside(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
-        raw = [np.frombuffer(m, np.int64) for m in table["matrix"].to_pylist()]
-        cuts = states([m.reshape(int(len(m) ** 0.5), -1) for m in raw])
+        cuts = cuts_between([unpacked(m) for m in table["matrix"].to_pylist()], table["s"][0].as_py(), table["t"][0].as_py())
         return pa.table({"row": table["row"], "chunk": table["chunk"], "s": pa.array(cuts[:-1], pa.int32()), "t": pa.array(cuts[1:], pa.int32())})
 
-    matrices = parts.mapInArrow(common.lean(measure), "row string, chunk int, matrix binary")
-    ends = matrices.groupBy("row").applyInArrow(scan, "row string, chunk int, s int, t int")
+    combined = blocks.groupBy("row", "block").applyInArrow(product, "row string, block int, matrix binary")
+    ends = combined.groupBy("row").applyInArrow(between, "row string, block int, s int, t int")
+    states = blocks.join(ends, ["row", "block"]).groupBy("row", "block").applyInArrow(inside, "row string, chunk int, s int, t int")
 
-    def trace(stream):
+    def traced(stream):
         v = Vocabulary(vocabulary)
         for batch in stream:
-            found = [encode_chunk(v, *cells) for cells in zip(*[batch[c].to_pylist() for c in ("text", "size", "s", "t")], strict=True)]
+            found = [Chunk(v, text, lead, size).encode(s, t) for text, lead, size, s, t in zip(*[batch[c].to_pylist() for c in ("text", "lead", "size", "s", "t")], strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("row", "doc_id", "n_chars", "chunk")], pa.array(found, pa.binary())], names=["row", "doc_id", "n_chars", "chunk", "ids"])
 
-    traced = parts.join(ends, ["row", "chunk"]).select("row", "doc_id", "n_chars", "chunk", "text", "size", "s", "t").mapInArrow(common.lean(trace), "row string, doc_id long, n_chars long, chunk int, ids binary")
+    ids = parts.join(states, ["row", "chunk"]).select("row", "doc_id", "n_chars", "chunk", "lead", "text", "size", "s", "t").mapInArrow(common.lean(traced), "row string, doc_id long, n_chars long, chunk int, ids binary")
 
     def gather(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
         return pa.table({"doc_id": table["doc_id"].slice(0, 1), "n_chars": table["n_chars"].slice(0, 1), "ids": pa.array([b"".join(table["ids"].to_pylist())], pa.binary())})
 
-    return traced.groupBy("row").applyInArrow(gather, "doc_id long, n_chars long, ids binary")
+    return ids.groupBy("row").applyInArrow(gather, "doc_id long, n_chars long, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -355,7 +413,7 @@ def round_trip(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
     def whole(stream):
         v = Vocabulary(vocabulary)
         for doc_ids, texts in portions(stream):
-            yield summary(v, doc_ids, list(map(len, texts)), [v.encode(mark(t)) for t in texts])
+            yield summary(v, doc_ids, list(map(len, texts)), [v.encode(t) for t in texts])
 
     def parts(stream):
         v = Vocabulary(vocabulary)
