@@ -25,7 +25,7 @@ def brute(rows):
 
 
 ROWS = [
-    (1, "http://a/\r\nWARC-Type: x", "é" * 500), (5, None, "é" * 500), (5, "http://c/", "é" * 500), (3, "u", "é" * 500), (4, "u", "a" * 999), (6, "u", "a" * 999),
+    (1, "http://a/\r\nWARC-Type: x\x00\x01\x1f\x7f", "é" * 500), (5, None, "é" * 500), (5, "http://c/", "é" * 500), (3, "u", "é" * 500), (4, "u", "a" * 999), (6, "u", "a" * 999),
     (7, "u", None), (8, "u", ""), (None, "u", "b" * 1000), (None, "u", "b" * 1000), (None, "u", "é" * 500), (9, "u", "\r\n\r\n" * 100_000), (-10, "u", "\r\n\r\n" * 100_000),
 ]
 
@@ -40,25 +40,34 @@ def test_pages(spark, sf_dir):
     assert sorted(map(tuple, warc.archive(pages).collect()), key=repr) == brute([(r["page_id"], r["url"], r["html"]) for r in pages.collect()])
 
 
-def test_records_come_back(spark, tmp_path):
-    path = str(tmp_path / "w")
-    warc.write(table(spark, ROWS), path)
+@pytest.mark.parametrize("part", [1_000_000, 2])
+def test_records_come_back(spark, tmp_path, part):
+    path, ids = str(tmp_path / "w"), set()
+    warc.write(table(spark, ROWS), path, part=part)
     assert warc.payloads(spark, path).count() == len({(h or "") for _, _, h in ROWS})
-    got = sorted((r["page_id"] is None, r["page_id"], bytes(r["record"])) for r in rows_of(warc.records(spark, path)) if r["page_id"] is not None)
-    for _, page, record in got:
+    got = rows_of(warc.records(spark, path))
+    assert len(got) == len(ROWS)
+    for page, record in ((r["page_id"], bytes(r["record"])) for r in got):
         head, _, rest = record.partition(b"\r\n\r\n")
         length = int(head.split(b"Content-Length: ")[1].split(b"\r\n")[0])
         assert rest[length:] == b"\r\n\r\n" and head.startswith(b"WARC/1.1\r\n")
         if b"WARC-Type: response" in head:
             assert rest[:length].decode() in [h or "" for p, _, h in ROWS if p == page]
-        assert head.count(b"\r\nWARC-Type:") == 1
+        assert head.count(b"\r\nWARC-Type:") == 1 and not any(c in head.replace(b"\r\n", b"") for c in [*range(32), 127])
+        ids.add(head.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0])
+    assert len(ids) == len(ROWS)
+    assert sorted(map(tuple, warc.read(spark, path, part).collect()), key=repr) == brute(ROWS)
 
 
-def test_changed_payload_is_noticed(spark, tmp_path):
+def test_changed_or_missing_payload_is_noticed(spark, tmp_path):
     path, bad = str(tmp_path / "w"), str(tmp_path / "bad")
     warc.write(table(spark, ROWS), path)
     warc.headers(spark, path).write.parquet(f"{bad}/headers")
     p = warc.payloads(spark, path)
-    p.selectExpr("digest", "cast(concat(cast(payload as string), 'x') as binary) as payload", "sha1", "length", "last_id").write.parquet(f"{bad}/payloads")
+    for change in ("cast(concat(cast(payload as string), 'x') as binary)", "cast(reverse(cast(payload as string)) as binary)"):
+        p.selectExpr("digest", f"{change} as payload").write.mode("overwrite").parquet(f"{bad}/payloads")
+        with pytest.raises(Exception, match="does not match"):
+            warc.read(spark, bad).collect()
+    p.where("octet_length(payload) < 1000").write.mode("overwrite").parquet(f"{bad}/payloads")
     with pytest.raises(Exception, match="does not match"):
         warc.read(spark, bad).collect()

@@ -4,12 +4,17 @@ Two tables make up an archive: ``payloads`` holds every distinct payload once un
 ``headers`` holds the exact header block of every record with that digest.
 Joining them gives the original records back.  Of records with equal payloads of
 at least ``shared_from`` bytes the one with the largest page_id is the
-``response`` and the others are ``revisit`` records that refer to it.
+``response`` and the others are ``revisit`` records that refer to it by its record id.
+
+Reading goes through the records themselves: their bytes are put together again, header fields and blocks are taken from
+them, every block is hashed, and a revisit takes its payload's size and digest from the record that it refers to.
+
+A payload that many records have is joined in as many parts as its records need (``PART`` each).
 
 Defined cases: a null html is an empty payload; a null url is an empty target; control characters
-in a url are percent-encoded; a null page_id is below every other and is written as
-``null``; rows with the same payload and the same largest id are all responses; extra
-columns are ignored; an empty table gives an archive without records.
+in a url (codes 0 to 31 and 127) are percent-encoded; a null page_id is below every other and is written as
+``null``; rows with the same payload and the same largest id are all responses, and revisits refer to the first of them; record ids
+are unique, also of repeated rows; extra columns are ignored; an empty table gives an archive without records.
 """
 
 from __future__ import annotations
@@ -21,15 +26,22 @@ from . import common
 
 CRLF = "\r\n"
 DATE = "1970-01-01T00:00:00Z"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Records of one payload that are joined in one part.
+PART = 1_000_000
+CONTROL = [*range(32), 127]
+
 
+def record_id(page_id, number):
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), number.cast("string"), F.lit(">"))
 
-def header(kind, page_id, url, length, sha1, refers_to):
+
+def header(kind, name, url, length, sha1, refers_to):
     """The header block of one record, with the empty line that ends it."""
 
-    def line(name: str, value):
-        return F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
+    def line(field_name: str, value):
+        return F.concat(F.lit(f"{field_name}: "), value, F.lit(CRLF))
 
-    name = F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
     revisit = kind == "revisit"
     return F.concat(
         F.lit("WARC/1.1" + CRLF),
@@ -38,75 +50,117 @@ def header(kind, page_id, url, length, sha1, refers_to):
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), refers_to.cast("string"), F.lit(">"))))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", refers_to))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(revisit, F.lit(0)).otherwise(length).cast("string")),
         F.lit(CRLF),
     )
 
 
-def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", shared_from: int = 1000) -> None:
+def encoded(url):
+    """Control characters as percent signs and codes."""
+    clean = url
+    for code in CONTROL:
+        clean = F.replace(clean, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(url.rlike("[\\x00-\\x1F\\x7F]"), clean).otherwise(url)
+
+
+def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", shared_from: int = 1000, part: int = PART) -> None:
     """Write the archive's two tables below ``path``, which must not exist."""
     spark = pages.sparkSession
-    clean = F.coalesce(F.col(f"`{url}`").cast("string"), F.lit(""))
-    for code in [*range(32), 127]:
-        clean = F.replace(clean, F.lit(chr(code)), F.lit(f"%{code:02X}")) if code in (9, 10, 11, 12, 13) else clean
     rows = pages.select(
         common.long_column(pages, page_id).alias("page_id"),
-        clean.alias("url"),
+        encoded(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit(""))).alias("url"),
         F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
+    named = rows.select(F.monotonically_increasing_id().alias("number"), "page_id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("bigint").alias("length"))
+    named = common.materialize(named, "warc-named")  # without the payloads
     with common.released_shuffles(spark):
         # payloads are reduced to one a task before they are shuffled
-        distinct = rows.groupBy("digest").agg(F.first("payload").alias("payload"), F.max("page_id").alias("last_id"))
-        stored = distinct.select("digest", "payload", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("bigint").alias("length"), "last_id")
-        stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
-        known = payloads(spark, path).select("digest", "sha1", "length", "last_id")
+        rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+        first = named.groupBy("digest").agg(F.max(F.struct("page_id", (-F.col("number")).alias("before"))).alias("last"), F.count("*").alias("n"))
+        first = first.select("digest", F.col("last.page_id").alias("last_id"), (-F.col("last.before")).alias("last_number"), F.ceil(F.col("n") / part).cast("int").alias("parts"))
+        first = common.materialize(first, "warc-first")
+        most = first.agg(F.coalesce(F.max("parts"), F.lit(1))).first()[0]  # one number
+        # the rows of a frequent payload meet copies of its one row
+        copies = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+        joined = named.withColumn("part", F.pmod(F.col("number"), F.lit(most)).cast("int")).join(copies, ["digest", "part"])
         shared = (F.col("length") >= shared_from) & F.col("last_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last_id"))
         kind = F.when(shared, "revisit").otherwise("response")
-        named = rows.select("page_id", "url", "digest").join(known, "digest")
-        headers_ = named.select("page_id", "digest", header(kind, F.col("page_id"), F.col("url"), F.col("length"), F.col("sha1"), F.col("last_id")).alias("header"))
+        block = header(kind, record_id(F.col("page_id"), F.col("number")), F.col("url"), F.col("length"), F.col("sha1"), record_id(F.col("last_id"), F.col("last_number")))
+        headers_ = joined.select("page_id", "digest", block.alias("header"), F.pmod(F.col("number"), F.col("parts")).cast("int").alias("part"), "parts")
         headers_.write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("digest string, payload binary, sha1 string, length long, last_id long").parquet(f"{path}/payloads")
+    return spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("page_id long, digest string, header string").parquet(f"{path}/headers")
+    """``part`` of ``parts``: which copy of its payload a record is joined with."""
+    return spark.read.schema("page_id long, digest string, header string, part int, parts int").parquet(f"{path}/headers")
 
 
-def field(name: str):
-    return F.regexp_extract("header", rf"\r\n{name}: ([^\r]*)\r\n", 1)
+def field(name: str, source="header"):
+    return F.regexp_extract(source, rf"\r\n{name}: ([^\r]*)\r\n", 1)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record: the original record bytes; a revisit's block is empty."""
-    joined = headers(spark, path).join(payloads(spark, path).select("digest", "payload"), "digest")
-    block = F.when(field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return joined.select("page_id", F.concat(F.col("header").cast("binary"), block, F.lit(b"\r\n\r\n")).alias("record"))
+    """page_id, record: the original record bytes; a revisit's block is empty.  A missing payload leaves a null record."""
+    rows = headers(spark, path).withColumn("revisit", field("WARC-Type") == "revisit")
+    own = F.col("header").cast("binary")
+    end = F.lit(b"\r\n\r\n")
+    empty = rows.where("revisit").select("page_id", F.concat(own, end).alias("record"))
+    full = rows.where("not revisit")
+    needed = full.where("parts > 1").select("digest", "parts").distinct()
+    stored = payloads(spark, path).join(needed, "digest", "left").select("digest", "payload", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    joined = full.join(stored, ["digest", "part"], "left").select("page_id", F.concat(own, F.col("payload"), end).alias("record"))
+    return empty.unionByName(joined)
+
+
+def parsed(records_: DataFrame) -> DataFrame:
+    """page_id and what a record's bytes say: id, kind, stated digest, refers_to, and size and SHA-1 of its block."""
+    # the header ends at the first empty line; field values have no line breaks
+    at = F.instr(F.col("text"), "\r\n\r\n") + 3
+    rows = records_.withColumn("text", F.decode(F.substring("record", F.lit(1), F.lit(1 << 20)), "ISO-8859-1")).withColumn("at", at)
+    head = F.substring("text", F.lit(1), F.col("at"))
+    rows = rows.withColumn("head", head).withColumn("block", F.substring("record", F.col("at") + 1, F.octet_length("record") - F.col("at") - 4))
+    whole = (field("Content-Length", "head").cast("bigint") == F.octet_length("block")) & (F.substring("record", F.octet_length("record") - 3, F.lit(4)) == F.lit(b"\r\n\r\n"))
+    return rows.select(
+        "page_id",
+        field("WARC-Record-ID", "head").alias("id"),
+        field("WARC-Type", "head").alias("record_type"),
+        field("WARC-Payload-Digest", "head").alias("stated"),
+        field("WARC-Refers-To", "head").alias("refers"),
+        F.octet_length("block").cast("bigint").alias("size"),
+        F.sha1("block").alias("found"),
+        F.coalesce(whole, F.lit(False)).alias("whole"),
+    )
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, all from the stored bytes.
+def read(spark: SparkSession, path: str, part: int = PART) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, all from the records that are put together again.
 
-    Every payload is hashed again; one that does not match its SHA-256 or a header's
-    digest or length stops the query.
+    A missing payload, or one that does not match a record's digest or length, stops the query.
     """
-    stored = payloads(spark, path).select("digest", (F.sha2("payload", 256) == F.col("digest")).alias("whole"), F.sha1("payload").alias("found"), F.octet_length("payload").cast("bigint").alias("payload_bytes"))
-    parsed = headers(spark, path).select(
-        "page_id",
-        "digest",
-        field("WARC-Type").alias("record_type"),
-        field("WARC-Payload-Digest").alias("stated"),
-        field("Content-Length").cast("bigint").alias("content"),
-        F.when(field("WARC-Type") == "revisit", F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?\d+)>\r\n", 1).cast("bigint")).alias("refers_to"),
-    )
-    joined = parsed.join(stored, "digest", "left")
-    right = F.col("whole") & (F.col("stated") == F.concat(F.lit("sha1:"), F.col("found"))) & (F.col("content") == F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0))
-    checked = F.when(right, F.col("found")).otherwise(F.raise_error(F.lit("a stored payload is missing or does not match its record")))
-    return joined.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
+    rows = common.materialize(parsed(records(spark, path)), "warc-records")  # without the payloads
+    fault = F.raise_error(F.lit("a stored payload is missing or does not match its record"))
+
+    def checked(size, found):
+        right = F.col("whole") & (F.col("stated") == F.concat(F.lit("sha1:"), found))
+        return size.alias("payload_bytes"), F.when(right, found).otherwise(fault).alias("payload_digest")
+
+    responses = rows.where("record_type = 'response'").select("page_id", *checked(F.col("size"), F.col("found")), "record_type", F.lit(None).cast("bigint").alias("refers_to"))
+    revisits = rows.where("record_type <> 'response' or record_type is null")
+    # the records that refer to one response meet copies of its one row, as many as they need
+    wanted = revisits.groupBy("refers").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    targets = rows.where("record_type = 'response'").select("id", "size", "found").join(wanted, F.col("id") == F.col("refers")).select("refers", "parts", F.col("size").alias("full_size"), F.col("found").alias("full_found"))
+    most = targets.agg(F.coalesce(F.max("parts"), F.lit(1))).first()[0]
+    copies = targets.drop("parts").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    joined = revisits.withColumn("copy", F.pmod(F.xxhash64("id"), F.lit(most)).cast("int")).join(copies, ["refers", "copy"], "left")
+    referred = F.regexp_extract("refers", r"^<urn:page:(-?\d+):\d+>$", 1).cast("bigint")
+    joined = joined.select("page_id", *checked(F.col("full_size"), F.col("full_found")), "record_type", referred.alias("refers_to"))
+    return responses.unionByName(joined)
 
 
 def archive(pages: DataFrame, shared_from: int = 1000) -> DataFrame:
