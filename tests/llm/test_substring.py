@@ -59,6 +59,23 @@ def test_matches_brute_force(spark, rows, flush, monkeypatch):
     assert sorted([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got], key=repr) == brute(rows, 50)
 
 
+def test_hot_hashes_are_dealt_by_digest(spark, monkeypatch):
+    """A passage of 40 words between words of its own in every document, and a longer one with and without ids."""
+    rng = random.Random(5)
+    short, long = words(rng, 40), words(rng, 70)
+    rows = [(i, " ".join(words(rng, 30) + (short if i % 2 else long) + words(rng, 30))) for i in range(120)]
+    rows += [(None, " ".join(words(rng, 20) + long + words(rng, 9))) for _ in range(40)]
+    monkeypatch.setattr(substring, "SAMPLED", 1)
+    monkeypatch.setattr(substring, "RARE", 8)
+    seen, before = [], substring.hot_hashes
+    monkeypatch.setattr(substring, "hot_hashes", lambda *a: seen.append(before(*a)) or seen[-1])
+    got = rows_of(substring.deduplicate(table(spark, rows).repartition(5)))
+    assert sorted([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got], key=repr) == brute(rows, 50)
+    assert 0 < len(seen[0]) <= 4 * 2 * 4
+    ranges = [tuple(r) for r in substring.maximal_repeats(table(spark, rows)).collect()]
+    assert len(ranges) == 59 + 40 and all(b - a >= 70 for _, a, b in ranges) and (2, 30, 100) in ranges
+
+
 def test_strip_keeps_columns_and_clean_texts(spark, rows):
     docs = table(spark, [(1, "a  b\nc"), (2, " ".join(map(str, range(60)))), (3, " ".join(map(str, range(60)))), (4, None), (5, "")])
     left = substring.strip(docs)

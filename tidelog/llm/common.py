@@ -17,6 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+UNKNOWN_SIZE = 1 << 50
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -102,6 +103,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def scaled(df: DataFrame, each: int = 16 << 20) -> int:
+    """Partitions for a shuffle of about as many bytes as ``df`` has by the planner's estimate, ``each`` bytes at most; twice the session's number at least."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > UNKNOWN_SIZE:
+        size = 0  # the planner does not know
+    return max(2 * partitions(df.sparkSession), -(-size // each))
+
+
 def text_column(df: DataFrame, text: str):
     return F.col(f"`{text}`").cast("string")
 

@@ -10,17 +10,20 @@ a whole reference block: blocks are the non-overlapping runs of ``window // 2``
    Hashes are packed by bucket (6 bytes each, document ids once per run), so
    that what is shuffled is about one value per word.
 2. Extend.  Around every hit, the windows that contain it are formed in both documents
-   and keyed by a 128-bit digest of their bytes; the smallest document of each digest
-   keeps it, and every other one has a verified repeat.  Hits that are next to
-   each other join into maximal exact repeats.
+   and compared by BLAKE2 digests (128 bits) of their words; the smallest document of each digest
+   keeps it, and every other one has a verified repeat.  Repeated windows that follow or overlap each
+   other join into maximal exact repeats (``maximal_repeats``).
 3. Remove.  The windows' starts come back to each document, and the words they cover go.
 
 Hot blocks and windows: a map task looks at about a million words at a time; what
 several documents among them share is settled there, so each task sends one
-message for a hash or digest however many of its documents hold it.
+message for a hash or digest however many of its documents hold it.  Windows are dealt out by the smallest block
+hash in them, which keeps neighbours together; where a sample of the documents shows one such hash in
+more windows than a quarter of a bucket should hold, those windows are dealt out by their own digests.  There are at
+most four times as many such hashes as buckets, and buckets follow the size of the input.
 
-Defined cases: a null text has no words; a null doc_id counts as larger than every id;
-rows with the same id never remove words from each other; repeated rows get equal results;
+Defined cases: a null text has no words; a null doc_id counts as larger than every id (like the id 2^63 - 1), and rows
+without id are told apart by their texts; rows with the same id never remove words from each other; repeated rows get equal results;
 documents below ``window`` words stay whole; other columns are ignored; an empty
 table gives an empty result.
 """
@@ -38,6 +41,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LAST = 2**63 - 1
+#: One in so many documents is looked at for hashes that many windows are dealt out by; fewer than ``RARE`` sampled windows are not many.
+SAMPLED, RARE = 16, 256
 #: Positions that a map task sorts at a time.
 FLUSH = 600_000
 MASK = np.uint64((1 << 48) - 1)
@@ -79,29 +84,30 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return (((h >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
 
 
-ANCHORS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
+ANCHORS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("marks", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 INDEX, PROBE, ASK, SURE = 0, 1, 2, 3
 
 
 class Packer:
-    """Collects (kind, hash, id) and packs them by bucket, grouped by id."""
+    """Collects (kind, hash, id, mark) and packs them by bucket, grouped by document; a mark of 0 wants no answer."""
 
     def __init__(self, buckets: int):
         self.buckets, self.rows = buckets, {f.name: [] for f in ANCHORS}
 
-    def add(self, kind: int, h: np.ndarray, ids: np.ndarray) -> None:
-        where = bucket_of(h, self.buckets) if kind != SURE else np.zeros(len(h), np.int64)
-        order = np.lexsort((ids, where))
-        h, ids, where = h[order], ids[order], where[order]
+    def add(self, kind: int, h: np.ndarray, ids: np.ndarray, marks: np.ndarray | None = None) -> None:
+        marks = np.zeros(len(h), np.int64) if marks is None else marks
+        where = bucket_of(h, self.buckets) if kind != SURE else np.abs(ids ^ marks) % self.buckets
+        order = np.lexsort((marks, ids, where))
+        h, ids, marks, where = h[order], ids[order], marks[order], where[order]
         cut = np.flatnonzero(np.diff(where)) + 1
         for a, b in zip(np.concatenate([[0], cut]).tolist(), np.append(cut, len(h)).tolist(), strict=True):
             if a == b:
                 continue
-            first = np.concatenate([[True], ids[a + 1 : b] != ids[a : b - 1]])
-            at = np.flatnonzero(first)
-            self.rows["bucket"].append(int(where[a]) if kind != SURE else int(ids[a] % self.buckets))
+            at = np.flatnonzero(np.concatenate([[True], (ids[a + 1 : b] != ids[a : b - 1]) | (marks[a + 1 : b] != marks[a : b - 1])]))
+            self.rows["bucket"].append(int(where[a]))
             self.rows["kind"].append(kind)
             self.rows["ids"].append(ids[a:b][at].astype("<i8").tobytes())
+            self.rows["marks"].append(marks[a:b][at].astype("<i8").tobytes())
             self.rows["counts"].append(np.diff(np.append(at, b - a)).astype("<u4").tobytes())
             self.rows["hashes"].append(to6(h[a:b]))
 
@@ -110,33 +116,43 @@ class Packer:
         return common.batches(rows, ANCHORS)
 
 
-def unpack(row) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row["ids"], "<i8")
-    return from6(row["hashes"]), np.repeat(ids, np.frombuffer(row["counts"], "<u4"))
+def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    counts = np.frombuffer(row["counts"], "<u4")
+    return from6(row["hashes"]), np.repeat(np.frombuffer(row["ids"], "<i8"), counts), np.repeat(np.frombuffer(row["marks"], "<i8"), counts)
 
 
-def settle(h: np.ndarray, ids: np.ndarray, aligned: np.ndarray, packer: Packer) -> None:
+def settle(h: np.ndarray, ids: np.ndarray, marks: np.ndarray, aligned: np.ndarray, packer: Packer) -> None:
     """Packs one map-side group: one message a hash, and what the group settles itself."""
-    order = np.argsort(h, kind="stable")
-    h, ids, aligned = h[order], ids[order], aligned[order]
-    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    order = np.argsort(h, kind="stable")  # a document's equal hashes stay next to each other
+    h, ids, marks, aligned = h[order], ids[order], marks[order], aligned[order]
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    start = np.flatnonzero(first)
     low, high = np.minimum.reduceat(ids, start), np.maximum.reduceat(ids, start)
     low_block = np.minimum.reduceat(np.where(aligned, ids, LAST), start)
     has_block = np.logical_or.reduceat(aligned, start)
     shared = low < high
-    packer.add(PROBE, h[start], high)
     packer.add(INDEX, h[start][has_block], low_block[has_block])
-    alone = has_block & ~shared
-    packer.add(ASK, h[start][alone], low[alone])
-    size = np.diff(np.append(start, len(h)))
-    sure = np.repeat(shared, size)
-    packer.add(SURE, h[sure], ids[sure])
+    packer.add(PROBE, h[start][shared], high[shared])
+    group = np.cumsum(first) - 1
+    once = first | np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])])
+    alone = once & ~shared[group]
+    packer.add(PROBE, h[alone], ids[alone], marks[alone])
+    alone &= has_block[group]
+    packer.add(ASK, h[alone], ids[alone], marks[alone])
+    sure = once & shared[group]
+    packer.add(SURE, h[sure], ids[sure], marks[sure])
 
 
 def anchor_rows(stream, block: int, window: int, buckets: int):
-    packer, hashes, ids, aligned, held = Packer(buckets), [], [], [], 0
+    packer, held, size = Packer(buckets), [], 0
+
+    def flush():
+        settle(*(np.concatenate(x) for x in zip(*held, strict=True)), packer)
+        held.clear()
+        return packer.take()
+
     for batch in stream:
-        for key, text in zip(batch["key"].to_pylist(), batch["text"], strict=True):
+        for key, mark, text in zip(batch["key"].to_pylist(), batch["mark"].to_pylist(), batch["text"], strict=True):
             words = split_words(text.as_py())
             if len(words) < window:
                 continue
@@ -144,30 +160,27 @@ def anchor_rows(stream, block: int, window: int, buckets: int):
             # pieces keep memory bounded for texts of any length
             for at in range(0, len(h), FLUSH):
                 part = h[at : at + FLUSH]
-                hashes.append(part)
-                ids.append(np.full(len(part), key, np.int64))
-                aligned.append((np.arange(at, at + len(part)) % block) == 0)
-                held += len(part)
-                if held >= FLUSH:
-                    settle(np.concatenate(hashes), np.concatenate(ids), np.concatenate(aligned), packer)
-                    hashes, ids, aligned, held = [], [], [], 0
-                    yield packer.take()
+                held.append((part, np.full(len(part), key, np.int64), np.full(len(part), mark, np.int64), (np.arange(at, at + len(part)) % block) == 0))
+                size += len(part)
+                if size >= FLUSH:
+                    yield flush()
+                    size = 0
     if held:
-        settle(np.concatenate(hashes), np.concatenate(ids), np.concatenate(aligned), packer)
-        yield packer.take()
+        yield flush()
 
 
-HITS = pa.schema([("key", pa.int64()), ("hashes", pa.binary())])
+HITS = pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("hashes", pa.binary())])
 
 
-def by_id(h: np.ndarray, ids: np.ndarray, out: dict[str, list]) -> None:
-    """Rows (id, packed hashes)."""
-    order = np.argsort(ids, kind="stable")
-    h, ids = h[order], ids[order]
-    cut = np.flatnonzero(np.diff(ids)) + 1
+def by_document(h: np.ndarray, ids: np.ndarray, marks: np.ndarray, out: dict[str, list]) -> None:
+    """Rows (id, mark, packed hashes)."""
+    order = np.lexsort((marks, ids))
+    h, ids, marks = h[order], ids[order], marks[order]
+    cut = np.flatnonzero((np.diff(ids) != 0) | (np.diff(marks) != 0)) + 1
     for a, b in zip(np.concatenate([[0], cut]).tolist(), np.append(cut, len(ids)).tolist(), strict=True):
         if a < b:
             out["key"].append(int(ids[a]))
+            out["mark"].append(int(marks[a]))
             out["hashes"].append(to6(np.unique(h[a:b])))
 
 
@@ -190,7 +203,7 @@ def match_anchors(stream):
             if row["bucket"] != bucket:
                 bucket, known = row["bucket"], None
                 waiting.clear()
-            h, ids = unpack(row)
+            h, ids, marks = unpack(row)
             if row["kind"] == INDEX:
                 waiting.append((h, ids))
                 if len(waiting) >= 64:  # one entry a hash is enough
@@ -198,7 +211,7 @@ def match_anchors(stream):
                     waiting.append((h, ids))
                 continue
             if row["kind"] == SURE:
-                by_id(h, ids, out)
+                by_document(h, ids, marks, out)
                 continue
             if known is None:
                 known, low, high = build()
@@ -208,10 +221,10 @@ def match_anchors(stream):
             there = known[at] == h
             if row["kind"] == PROBE:
                 np.maximum.at(high, at[there], ids[there])
-                hit = there & (low[at] < ids)
+                hit = there & (low[at] < ids) & (marks != 0)
             else:
                 hit = there & (high[at] > ids)
-            by_id(h[hit], ids[hit], out)
+            by_document(h[hit], ids[hit], marks[hit], out)
         if out["key"]:
             yield common.batches(out, HITS)
 
@@ -237,7 +250,7 @@ def windows_of(words: list[bytes], anchors: np.ndarray, block: int, window: int)
     return starts[some], low[some]
 
 
-def window_rows(stream, block: int, window: int, buckets: int):
+def window_rows(stream, block: int, window: int, buckets: int, hot: np.ndarray):
     """Digests of candidate windows; what a map-side group settles itself is a removal at once."""
     held: list[tuple] = []
     size = 0
@@ -249,7 +262,7 @@ def window_rows(stream, block: int, window: int, buckets: int):
         first = np.concatenate([[True], digests[1:] != digests[:-1]])
         low = ids[first][np.cumsum(first) - 1]
         rows = {f.name: [] for f in WINDOWS}
-        where = bucket_of(common.mix(dealt), buckets)
+        where = bucket_of(common.mix(np.where(np.isin(dealt, hot), digests["a"], dealt)), buckets)
         for kind, some in ((1, ids > low), (0, ids == low)):
             # of the smallest document's windows all ask: each of its rows and places may be removed
             at = np.flatnonzero(some)
@@ -279,8 +292,8 @@ def window_rows(stream, block: int, window: int, buckets: int):
             begins = np.concatenate([[0], ends[:-1] + 1])
             for at in range(0, len(starts), FLUSH // 4):
                 part = starts[at : at + FLUSH // 4]
-                digest = xxhash.xxh3_128_digest
-                d = np.frombuffer(b"".join([digest(line[a:b]) for a, b in zip(begins[part].tolist(), ends[part + window - 1].tolist(), strict=True)]), PAIR)
+                digest = hashlib.blake2b
+                d = np.frombuffer(b"".join([digest(line[a:b], digest_size=16).digest() for a, b in zip(begins[part].tolist(), ends[part + window - 1].tolist(), strict=True)]), PAIR)
                 held.append((d, np.full(len(d), key, np.int64), np.full(len(d), mark, np.int64), part, least[at : at + FLUSH // 4]))
                 size += len(d)
                 if size >= FLUSH // 4:
@@ -290,6 +303,36 @@ def window_rows(stream, block: int, window: int, buckets: int):
         yield flush()
 
 
+def count_windows(stream, block: int, window: int):
+    """(smallest hash, windows): how many candidate windows are dealt out by each."""
+    held: list[np.ndarray] = []
+
+    def flush():
+        hashes, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["least", "n"])
+
+    for batch in stream:
+        for text, hits in zip(batch["text"], batch["hits"].to_pylist(), strict=True):
+            words = split_words(text.as_py())
+            if len(words) >= window:
+                held.append(windows_of(words, from6(b"".join(hits)), block, window)[1])
+                if sum(map(len, held)) >= FLUSH:
+                    yield flush()
+    if held:
+        yield flush()
+
+
+def hot_hashes(candidates: DataFrame, block: int, window: int, buckets: int) -> np.ndarray:
+    """Smallest hashes that hold more windows than a quarter of a bucket should, from one in ``SAMPLED`` documents; at most 4 x buckets."""
+    sample = candidates.where(F.pmod(F.xxhash64("key", "mark", F.lit("hot")), F.lit(SAMPLED)) == 0).select("text", "hits")
+    counts = sample.mapInArrow(common.lean(lambda s: count_windows(s, block, window)), "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
+    counts = common.materialize(counts, "substring-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = counts.where(F.col("n") > max(RARE, total / (4 * buckets))).select("least").collect()
+    return np.array([r["least"] for r in found], np.int64).view(np.uint64)
+
+
 FOUND = pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("starts", pa.binary())])
 
 
@@ -337,16 +380,16 @@ def settle_windows(stream):
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
     """key, mark, starts: the starts of repeated windows of each (id, text hash) that has any."""
-    spark = docs.sparkSession
-    block, buckets = window // 2, common.partitions(spark) * 2
+    block, buckets = window // 2, common.scaled(docs)
     body = common.text_column(docs, text)
     rows = docs.select(F.coalesce(common.long_column(docs, doc_id), F.lit(LAST)).alias("key"), F.xxhash64(body).alias("mark"), body.alias("text")).where("text is not null")
-    packed = rows.select("key", "text").mapInArrow(common.lean(lambda s: anchor_rows(s, block, window, buckets)), "bucket int, kind int, ids binary, counts binary, hashes binary")
-    hits = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(common.lean(match_anchors), "key long, hashes binary")
+    packed = rows.mapInArrow(common.lean(lambda s: anchor_rows(s, block, window, buckets)), "bucket int, kind int, ids binary, marks binary, counts binary, hashes binary")
+    hits = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(common.lean(match_anchors), "key long, mark long, hashes binary")
     hits = common.materialize(hits, "substring-hits")
-    grouped = hits.groupBy("key").agg(F.collect_list("hashes").alias("hits"))
-    candidates = rows.join(grouped, "key").select("key", "mark", "text", "hits")
-    asked = candidates.mapInArrow(common.lean(lambda s: window_rows(s, block, window, buckets)), "bucket int, kind int, ids binary, texts binary, starts binary, digests binary")
+    grouped = hits.groupBy("key", "mark").agg(F.collect_list("hashes").alias("hits"))
+    candidates = rows.join(grouped, ["key", "mark"]).select("key", "mark", "text", "hits")
+    hot = hot_hashes(candidates, block, window, buckets)
+    asked = candidates.mapInArrow(common.lean(lambda s: window_rows(s, block, window, buckets, hot)), "bucket int, kind int, ids binary, texts binary, starts binary, digests binary")
     found = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(common.lean(settle_windows), "key long, mark long, starts binary")
     return common.materialize(found, "substring-windows")
 
@@ -373,6 +416,25 @@ def removed(text: str | None, starts: list[bytes] | None, window: int) -> tuple[
     return words, covered(len(words), at, window)
 
 
+def maximal_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
+    """doc_id, start, end: the word ranges (end exclusive) of every row that windows of a smaller document cover, as long as they go."""
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+
+    def run(stream):
+        for batch in stream:
+            out = {f.name: [] for f in schema}
+            for ident, body, starts in zip(batch["doc_id"].to_pylist(), batch["text"], batch["starts"].to_pylist(), strict=True):
+                if starts:
+                    edges = np.flatnonzero(np.diff(np.concatenate([[False], removed(body.as_py(), starts, window)[1], [False]]).astype(int)))
+                    out["doc_id"] += [ident] * (len(edges) // 2)
+                    out["start"] += edges[::2].tolist()
+                    out["end"] += edges[1::2].tolist()
+            yield common.batches(out, schema)
+
+    rows = docs.select(common.long_column(docs, doc_id).alias("doc_id"), common.text_column(docs, text).alias("text"))
+    return with_repeats(rows, "doc_id", "text", window, "starts").select("doc_id", "text", "starts").mapInArrow(common.lean(run), "doc_id long, start long, end long")
+
+
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space): one row per input row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
