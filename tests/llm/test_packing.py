@@ -67,18 +67,53 @@ def test_words_take_the_same_ids_as_whole_texts():
         assert words.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
-def test_genetic_search_improves_on_best_fit():
-    rng = np.random.default_rng(3)
-    lengths = []
-    for _ in range(60):  # bins that can be filled exactly
-        a, b = sorted(rng.integers(100, 900, 2).tolist())
-        lengths += [a, b - a + 1, 1000 - b - 1] if b - a + 1 + a <= 999 else [1000]
-    best_fit = packing.Bins(1000, [], lengths)
-    best_fit.best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i]))
-    assign = packing.evolve(lengths, 1000, [], np.random.default_rng(0), 6, 60)
+def triplets(n, seed):
+    """Pieces that fill ``n`` bins of 1000 exactly, three each; best-fit decreasing needs more bins."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(251, (1000 - a) // 2 + 1))
+        out += [a, b, 1000 - a - b]
+    return out
+
+
+def best_fit(lengths):
+    out = packing.Bins(1000, [], lengths)
+    out.best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i]))
+    return len(out.bins)
+
+
+def count(assign, lengths):
     fill = np.bincount(assign, weights=lengths)
-    assert fill.max() <= 1000 and len(fill) <= len(best_fit.bins)
-    assert packing.value((1000 - fill).tolist(), 1000) >= packing.value(best_fit.free, 1000)
+    assert fill.max() <= 1000 and len(assign) == len(lengths)
+    return len(fill)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_genetic_search_needs_fewer_bins_than_best_fit(seed):
+    lengths = triplets(40, seed)
+    found = [count(packing.evolve(lengths, 1000, [], np.random.default_rng(seed), 8, g), lengths) for g in (0, 10, 100)]
+    assert found[0] >= found[1] >= found[2] >= 40 and found[2] <= best_fit(lengths) - 2
+
+
+def test_migration_takes_an_island_further():
+    lengths = triplets(40, 9)
+    alone = packing.evolve(lengths, 1000, [], np.random.default_rng(1), 4, 3)
+    elite = packing.evolve(lengths, 1000, [], np.random.default_rng(2), 8, 200)
+    helped = packing.evolve(lengths, 1000, [elite], np.random.default_rng(1), 4, 3)
+    assert count(helped, lengths) <= count(elite, lengths) < count(alone, lengths)
+
+
+def test_islands_and_epochs_of_shards(spark):
+    lengths = {shard: triplets(30, 20 + shard) for shard in range(2)}
+    items = spark.createDataFrame([(k, n, shard) for shard, own in lengths.items() for k, n in enumerate(own)], "uid long, length long, shard long")
+    bins = {}
+    for islands, epochs in ((1, 1), (3, 3)):
+        got = packing.solve(items, 1000, islands, epochs, 4, 8).collect()
+        bins[islands] = {s: min(count(np.frombuffer(bytes(r["assign"]), "<i4"), lengths[s]) for r in got if r["shard"] == s) for s in lengths}
+    for shard, own in lengths.items():
+        assert bins[3][shard] <= bins[1][shard] < best_fit(own)
+    assert sum(bins[3].values()) < sum(bins[1].values())
 
 
 def test_crossover_keeps_every_piece_once():

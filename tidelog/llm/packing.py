@@ -4,10 +4,12 @@ Documents are tokenised whole; only those longer than a sequence are cut.  The p
 are dealt at random into shards of bounded size.  A shard is solved by several islands, each a task of its
 own with its own random numbers.  An individual is a list of bins.  Crossover injects whole
 well-filled bins of one parent into the other, drops the bins that hold one of the injected
-pieces twice, and best-fits the displaced pieces.  Between epochs each island
-sends its elite to the next one.  The best individual of a shard closes its
+pieces twice, lets displaced pieces take the places of smaller ones where that fills a bin better, and best-fits
+the rest.  Between epochs each island
+sends its elite to the next one.  A search ends early when no packing can have fewer bins.  The best individual of a shard closes its
 well-filled bins; the pieces of the others are pooled over all shards and
-packed in another round, until they fit one shard or no longer get fewer.
+packed in another round.  Rounds go on until the pieces left fit one shard or a round closes bins for less than 30 %
+of them, so that their number falls geometrically and there is no cap on rounds.
 
 Defined cases: a null or empty text is one piece of the end token alone; repeated rows are packed
 each for itself; null ids are kept; other columns are ignored; an empty table
@@ -163,6 +165,28 @@ def value(free: list[int], capacity: int) -> tuple[int, float]:
     return -len(free), float((used * used).mean()) if len(free) else 0.0
 
 
+def traded(bins: list[list[int]], items: list[int], capacity: int, lengths: np.ndarray) -> list[int]:
+    """Displaced pieces take the places of smaller ones where that fills a bin better; returns what is displaced then."""
+    where = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+    held = np.array([i for b in bins for i in b], np.int64)
+    if not len(held):
+        return items
+    free = capacity - np.bincount(where, weights=lengths[held], minlength=len(bins)).astype(np.int64)
+    left = []
+    for i in sorted(items, key=lambda i: (-lengths[i], i)):
+        room = free[where] + lengths[held] - lengths[i]  # what would be free with the piece in place of another
+        gain = np.where((room >= 0) & (lengths[held] < lengths[i]), room, capacity)
+        k = int(gain.argmin())
+        if gain[k] < capacity:
+            old, b = int(held[k]), int(where[k])
+            bins[b][bins[b].index(old)] = i
+            free[b], held[k] = room[k], i
+            left.append(old)
+        else:
+            left.append(i)
+    return left
+
+
 def crossover(a: Bins, b: Bins, rng: np.random.Generator) -> Bins:
     full = np.argsort(np.array(b.free), kind="stable")[: max(1, len(b.bins) // 2)]
     donors = rng.choice(full, max(1, int(len(full) * rng.uniform(0.1, 0.6))), replace=False)
@@ -175,6 +199,7 @@ def crossover(a: Bins, b: Bins, rng: np.random.Generator) -> Bins:
             child.append(list(group))
         else:
             displaced += [i for i in group if i not in injected]
+    displaced = traded(child, displaced, a.capacity, np.array(a.lengths))
     out = Bins(a.capacity, child, a.lengths)
     displaced.sort(key=lambda i: (-a.lengths[i], i))
     out.best_fit(displaced)
@@ -202,11 +227,14 @@ def evolve(lengths: list[int], capacity: int, elites: list[np.ndarray], rng: np.
     least = -(-int(size.sum()) // capacity)
     people = sorted(people, key=lambda p: value(p.free, capacity), reverse=True)[:population]
     for _ in range(generations):
-        if len(people[0].bins) <= least:
-            break
+        if len(people[0].bins) <= least or len(people) < 2:
+            break  # no packing has fewer bins
         a, b = rng.choice(len(people), 2, replace=False)
-        people.append(crossover(people[min(a, b)], people[max(a, b)], rng))
-        people = sorted(people, key=lambda p: value(p.free, capacity), reverse=True)[:population]
+        child = crossover(people[a], people[b], rng)
+        worth = value(child.free, capacity)
+        if all(value(p.free, capacity) != worth for p in people):  # one of equal individuals is enough
+            people.append(child)
+            people = sorted(people, key=lambda p: value(p.free, capacity), reverse=True)[:population]
     assign = np.zeros(len(lengths), np.int32)
     for k, group in enumerate(people[0].bins):
         assign[group] = k
@@ -262,7 +290,7 @@ def place(items: DataFrame, best: DataFrame, capacity: int, round_: int, slack:
         offset[order] = total - base
         shard = table["shard"][0].as_py()
         own = own.drop_columns(["shard", "assign"])
-        own = own.append_column("sequence_id", pa.array(((round_ << 58) | (shard << 16)) + assign.astype(np.int64)))
+        own = own.append_column("sequence_id", pa.array(((round_ << 52) | (shard << 16)) + assign.astype(np.int64)))
         return own.append_column("offset", pa.array(offset)).append_column("open", pa.array((capacity - fill)[assign] > slack)).cast(PLACED)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "uid"]
@@ -282,24 +310,23 @@ def pack(
     population: int = 4,
     generations: int = 10,
     slack: int = 16,
-    rounds: int = 8,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece.
 
     ``tokenizer`` is the path of a vocabulary file, the same on every machine.
     """
-    placed = None
+    placed, round_ = None, 0
     pool = common.materialize(pieces(docs, tokenizer, capacity, doc_id, text), "packing-pieces")
     left = pool.count()
-    for round_ in range(rounds):
+    while True:
         shards = max(1, -(-left // shard_size))
         items = pool.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(shards)))
         best = solve(items, capacity, islands, epochs, population, generations)
         done = common.materialize(place(items, best, capacity, round_, slack), f"packing-round-{round_}")
         still = done.where("open").count() if shards > 1 else 0
-        last = not still or still > 0.7 * left or round_ == rounds - 1
+        last = not still or still > 0.7 * left
         closed = done if last else done.where("not open")
         placed = closed if placed is None else placed.unionByName(closed)
         if last:
             return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-        pool, left = done.where("open").select(*pool.columns), still
+        pool, left, round_ = done.where("open").select(*pool.columns), still, round_ + 1
