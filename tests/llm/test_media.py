@@ -49,3 +49,24 @@ def test_shards_are_tar_files(spark, monkeypatch):
         assert hashlib.sha256(media.decode(image)).hexdigest() == r["digest"]
         with pytest.raises(ValueError):
             media.decode(image[:45] + bytes([image[45] ^ 1]) + image[46:])
+
+
+def test_features_against_plain_arithmetic(spark):
+    """Mean, deviation, entropy and mean step of the padded bytes, counted one by one."""
+    import math
+
+    rows = [(1, None), (2, "abc"), (3, "é𝒳 \n" * 300), (4, "z" * 576)]
+    for r in rows_of(media.columns(table(spark, rows))):
+        raw = (dict(rows)[r["doc_id"]] or "").encode()
+        payload = list(raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576)))
+        n = len(payload)
+        mean = sum(payload) / n
+        counts = [payload.count(v) / n for v in set(payload)]
+        want = {
+            "mean": mean,
+            "dev": math.sqrt(sum((x - mean) ** 2 for x in payload) / n),
+            "entropy": -sum(p * math.log2(p) for p in counts),
+            "step": sum(abs(a - b) for a, b in zip(payload, payload[1:])) / (n - 1),
+        }
+        got = {k: float(v) for k, v in (part.split("=") for part in r["feature"].split(";"))}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
