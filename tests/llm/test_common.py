@@ -8,7 +8,7 @@ from tidelog.llm import common, secrets
 
 
 def test_shared_values_need_no_installed_package(spark, tmp_path):
-    net = secrets.Network(*[np.ones((2, 2)) for _ in range(5)], threshold=0.7)
+    net = secrets.Network(*[np.ones((2, 2)) for _ in range(7)], threshold=0.7)
     shared = common.Shared(spark, net)
     assert shared.load().threshold == 0.7
     path = tmp_path / "model"

@@ -19,7 +19,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Large-star and small-star steps alternate until the edges are stars around
     the roots.  Every round is a few aggregations and joins on node ids,
     written to the shared folder; nothing but two numbers reaches the driver.
-    A root has no row for itself; neither has a node without links.  Labels that still change after ``rounds`` are an error.
+    A root has no row for itself; neither has a node without links.  A pair with a null is no link; repeated pairs count once;
+    an empty list has no rows.  Labels that still change after ``rounds`` are an error, never a result.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = common.materialize(now, "edges")
@@ -33,7 +34,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = common.materialize(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        done = now
         now = common.materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        common.discard(done, large)
         after = state(now)
         if after == before:
             break

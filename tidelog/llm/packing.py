@@ -262,8 +262,10 @@ def solve(items: DataFrame, capacity: int, islands: int, epochs: int, population
     dealt = items.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "uid", "length", F.lit(None).cast("binary").alias("assign"))
     elites = None
     for epoch in range(epochs):
-        rows = dealt if elites is None else dealt.unionByName(elites)
+        before, rows = elites, dealt if elites is None else dealt.unionByName(elites)
         elites = common.materialize(rows.groupBy("shard", "island").applyInArrow(island(epoch), text), f"packing-epoch-{epoch}")
+        if before is not None:
+            common.discard(before)
     return elites.select("shard", "assign").distinct()
 
 

@@ -207,6 +207,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dir
     """
     rows = common.materialize(minhash.signatures(docs, doc_id, text), "near-signatures")
     nodes = common.materialize(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-nodes")
+    common.discard(rows)
     firsts = nodes.select("node", "doc_id")
     roots = graph.components(minhash.links(nodes, docs, firsts, doc_id, text, direct))
     named = firsts.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")

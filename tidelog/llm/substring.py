@@ -330,6 +330,7 @@ def hot_hashes(candidates: DataFrame, block: int, window: int, buckets: int) ->
     counts = common.materialize(counts, "substring-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = counts.where(F.col("n") > max(RARE, total / (4 * buckets))).select("least").collect()
+    common.discard(counts)
     return np.array([r["least"] for r in found], np.int64).view(np.uint64)
 
 
@@ -391,7 +392,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     hot = hot_hashes(candidates, block, window, buckets)
     asked = candidates.mapInArrow(common.lean(lambda s: window_rows(s, block, window, buckets, hot)), "bucket int, kind int, ids binary, texts binary, starts binary, digests binary")
     found = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(common.lean(settle_windows), "key long, mark long, starts binary")
-    return common.materialize(found, "substring-windows")
+    found = common.materialize(found, "substring-windows")
+    common.discard(hits)
+    return found
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
