@@ -3,6 +3,7 @@ import subprocess
 import sys
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidelog.llm import common, secrets
 
@@ -16,3 +17,13 @@ def test_shared_values_need_no_installed_package(spark, tmp_path):
     code = "import pickle, sys; print(pickle.load(open(sys.argv[1], 'rb')).threshold); assert 'tidelog' not in sys.modules"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     assert subprocess.run([sys.executable, "-c", code, str(path)], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout == "0.7\n"
+
+
+def test_hot_join(spark):
+    rows = spark.createDataFrame([(k, "a" if k % 3 else f"x{k}") for k in range(60)] + [(None, "lone"), (99, None)], "id long, key string")
+    side = rows.where("key <> 'lone'").groupBy("key").count().withColumnRenamed("count", "n").selectExpr("key", "n", "upper(key) as up")
+    for part in (7, 1_000):
+        for how in ("inner", "left"):
+            got = common.hot_join(rows, side, "key", "n", F.coalesce("id", F.lit(0)), part, how)
+            want = rows.join(side.drop("n"), "key", how)
+            assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

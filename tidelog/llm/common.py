@@ -114,6 +114,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_join(rows: DataFrame, side: DataFrame, key: str, n: str, spread, part: int = 1_000_000, how: str = "inner") -> DataFrame:
+    """``rows`` joined on ``key`` with ``side``, which has one row of each key and in ``n`` how many rows have it.
+
+    A key of more than ``part`` rows meets a copy of its one row for each ``part`` of them, dealt by the long column ``spread``; there are
+    at most as many such keys as rows over ``part``, and they alone are broadcast.
+    """
+    hot = side.where(F.col(n) > part).select(key, F.ceil(F.col(n) / part).cast("int").alias("_parts"))
+    if hot.isEmpty():
+        return rows.join(side.drop(n), key, how)
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(spread, F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = side.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(n) / part).cast("int"), F.lit(1)) - 1))).drop(n)
+    return dealt.join(copies, [key, "_part"], how).drop("_part")
+
+
 def scaled(df: DataFrame, each: int = 16 << 20) -> int:
     """Partitions for a shuffle of about as many bytes as ``df`` has by the planner's estimate, ``each`` bytes at most; twice the session's number at least."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

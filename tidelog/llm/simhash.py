@@ -191,13 +191,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, direct: int = DIRECT) -> Dat
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, direct: int = DIRECT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable, itself included)."""
     fps = common.materialize(fingerprints(docs, doc_id, text), "simhash-fp")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     roots = graph.components(links(nodes.select("fp"), max_bits, direct))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     named = common.materialize(named, "simhash-named")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(smallest, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = common.materialize(named.join(smallest, "root").select("fp", "n", "component_id"), "simhash-components")
+    return common.hot_join(fps, by_fp, "fp", "n", F.coalesce("doc_id", F.lit(0))).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", direct: int = minhash.DIRECT) -> DataFrame:

@@ -79,12 +79,9 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
         # payloads are reduced to one a task before they are shuffled
         rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
         first = named.groupBy("digest").agg(F.max(F.struct("page_id", (-F.col("number")).alias("before"))).alias("last"), F.count("*").alias("n"))
-        first = first.select("digest", F.col("last.page_id").alias("last_id"), (-F.col("last.before")).alias("last_number"), F.ceil(F.col("n") / part).cast("int").alias("parts"))
+        first = first.select("digest", F.col("last.page_id").alias("last_id"), (-F.col("last.before")).alias("last_number"), "n", F.ceil(F.col("n") / part).cast("int").alias("parts"))
         first = common.materialize(first, "warc-first")
-        most = first.agg(F.coalesce(F.max("parts"), F.lit(1))).first()[0]  # one number
-        # the rows of a frequent payload meet copies of its one row
-        copies = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-        joined = named.withColumn("part", F.pmod(F.col("number"), F.lit(most)).cast("int")).join(copies, ["digest", "part"])
+        joined = common.hot_join(named, first, "digest", "n", F.col("number"), part)
         shared = (F.col("length") >= shared_from) & F.col("last_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last_id"))
         kind = F.when(shared, "revisit").otherwise("response")
         block = header(kind, record_id(F.col("page_id"), F.col("number")), F.col("url"), F.col("length"), F.col("sha1"), record_id(F.col("last_id"), F.col("last_number")))
@@ -152,12 +149,9 @@ def read(spark: SparkSession, path: str, part: int = PART) -> DataFrame:
 
     responses = rows.where("record_type = 'response'").select("page_id", *checked(F.col("size"), F.col("found")), "record_type", F.lit(None).cast("bigint").alias("refers_to"))
     revisits = rows.where("record_type <> 'response' or record_type is null")
-    # the records that refer to one response meet copies of its one row, as many as they need
-    wanted = revisits.groupBy("refers").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    targets = rows.where("record_type = 'response'").select("id", "size", "found").join(wanted, F.col("id") == F.col("refers")).select("refers", "parts", F.col("size").alias("full_size"), F.col("found").alias("full_found"))
-    most = targets.agg(F.coalesce(F.max("parts"), F.lit(1))).first()[0]
-    copies = targets.drop("parts").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    joined = revisits.withColumn("copy", F.pmod(F.xxhash64("id"), F.lit(most)).cast("int")).join(copies, ["refers", "copy"], "left")
+    wanted = revisits.groupBy("refers").agg(F.count("*").alias("n"))
+    targets = rows.where("record_type = 'response'").select("id", "size", "found").join(wanted, F.col("id") == F.col("refers")).select("refers", "n", F.col("size").alias("full_size"), F.col("found").alias("full_found"))
+    joined = common.hot_join(revisits, common.materialize(targets, "warc-targets"), "refers", "n", F.xxhash64("id"), part, "left")
     referred = F.regexp_extract("refers", r"^<urn:page:(-?\d+):\d+>$", 1).cast("bigint")
     joined = joined.select("page_id", *checked(F.col("full_size"), F.col("full_found")), "record_type", referred.alias("refers_to"))
     return responses.unionByName(joined)
