@@ -19,6 +19,8 @@ are unique, also of repeated rows; extra columns are ignored; an empty table giv
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records of one payload that are joined in one part.
 PART = 1_000_000
 CONTROL = [*range(32), 127]
+#: First digits of the digests that one round of reading takes.
+ROUNDS = ("01234567", "89abcdef")
 
 
 def record_id(page_id, number):
@@ -102,15 +106,22 @@ def field(name: str, source="header"):
     return F.regexp_extract(source, rf"\r\n{name}: ([^\r]*)\r\n", 1)
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record: the original record bytes; a revisit's block is empty.  A missing payload leaves a null record."""
-    rows = headers(spark, path).withColumn("revisit", field("WARC-Type") == "revisit")
+def records(spark: SparkSession, path: str, digits: str | None = None) -> DataFrame:
+    """page_id, record: the original record bytes; a revisit's block is empty.  A missing payload leaves a null record.
+
+    ``digits``: only records whose digest begins with one of them.
+    """
+
+    def chosen(table: DataFrame) -> DataFrame:
+        return table if digits is None else table.where(F.substring("digest", F.lit(1), F.lit(1)).isin(*digits))
+
+    rows = chosen(headers(spark, path)).withColumn("revisit", field("WARC-Type") == "revisit")
     own = F.col("header").cast("binary")
     end = F.lit(b"\r\n\r\n")
     empty = rows.where("revisit").select("page_id", F.concat(own, end).alias("record"))
     full = rows.where("not revisit")
     needed = full.where("parts > 1").select("digest", "parts").distinct()
-    stored = payloads(spark, path).join(needed, "digest", "left").select("digest", "payload", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    stored = chosen(payloads(spark, path)).join(needed, "digest", "left").select("digest", "payload", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     joined = full.join(stored, ["digest", "part"], "left").select("page_id", F.concat(own, F.col("payload"), end).alias("record"))
     return empty.unionByName(joined)
 
@@ -139,8 +150,10 @@ def read(spark: SparkSession, path: str, part: int = PART) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, all from the records that are put together again.
 
     A missing payload, or one that does not match a record's digest or length, stops the query.
+    Records are put together in rounds by their digests' first digit, so that a round's shuffle files are gone before the next one's are written.
     """
-    rows = common.materialize(parsed(records(spark, path)), "warc-records")  # without the payloads
+    rounds = [common.materialize(parsed(records(spark, path, digits)), "warc-records") for digits in ROUNDS]  # without the payloads
+    rows = reduce(DataFrame.unionByName, rounds)
     fault = F.raise_error(F.lit("a stored payload is missing or does not match its record"))
 
     def checked(size, found):
