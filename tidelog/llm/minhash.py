@@ -1,36 +1,20 @@
-"""Near copies by word shingles: candidates from MinHash bands, every link verified on the shingles themselves.
+"""Word shingles and their MinHash bands.
 
-Two texts are near copies when the Jaccard similarity of their sets of 5-word shingles is 0.8 or more.
-A text has 32 bands of 4 minima each; a pair at 0.8 shares none with a chance under 1e-7, a closer
-pair with less.  Texts that share a band are candidates, and a candidate pair is a link only if the sets,
-as 64-bit hashes of the shingles, have that similarity.
-
-A band that more than ``direct`` texts share is not compared pair by pair: its texts are compared
-with the smallest of them.  Those that have no smaller near copy anywhere by then go a level deeper,
-where they must share a further band too, a pair at 0.8 again with a chance of all but 1e-4 at the deepest;
-below that all pairs are compared.  So no text that is kept has a smaller near copy that is kept.
-
-Defined cases: words are those of :func:`simhash.fingerprint`; fewer than 5 words make one shingle; texts without words are
-near copies of each other and of nothing else; equal texts are one node, however many rows have them.
+A text has 32 bands of 4 minima each; a pair with a Jaccard similarity of 0.8 shares none with a chance under 1e-7.
+:mod:`near` takes the shingles and the identity of a text from here; no query uses the bands.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 
 SEED = 42
 SHINGLE = 5
 BANDS, ROWS = 32, 4
-#: Texts of a band that are compared pair by pair.
-DIRECT = 32
-LEVELS = 3
 PIECE = 1 << 12
 
 
@@ -66,74 +50,3 @@ def bands(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def node_of(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
-def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, node, n (distinct shingles), bands: one row per input row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
-
-    def compute(stream):
-        a, b = permutations()
-        for batch in stream:
-            sets = [shingles(t.as_py()) for t in batch["text"]]
-            keys = pa.array([bands(s, a, b).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["node"], pa.array([len(s) for s in sets], pa.int64()), keys], schema=schema)
-
-    body = common.text_column(docs, text)
-    rows = docs.select(common.long_column(docs, doc_id).alias("doc_id"), node_of(body).alias("node"), body.alias("text"))
-    return rows.mapInArrow(common.lean(compute), "doc_id long, node long, n long, bands array<long>")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets have a similarity of 0.8 or more."""
-    schema = pa.schema([("node", pa.int64()), ("s", pa.list_(pa.int64()))])
-
-    def compute(stream):
-        for batch in stream:
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([shingles(t.as_py()).view(np.int64) for t in batch["text"]], pa.list_(pa.int64()))], schema=schema)
-
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    # one row of each node: texts are dealt out by node and id, since many rows can have the same text
-    none = F.lit(2**63 - 1)
-    wanted = firsts.join(ends, "node", "left_semi").select("node", F.coalesce("doc_id", none).alias("id"))
-    body = common.text_column(docs, text)
-    rows = docs.select(node_of(body).alias("node"), F.coalesce(common.long_column(docs, doc_id), none).alias("id"), body.alias("text"))
-    texts = rows.join(wanted, ["node", "id"], "left_semi").dropDuplicates(["node", "id"]).select("node", "text")
-    sets = common.materialize(texts.mapInArrow(common.lean(compute), "node long, s array<long>"), "near-sets")
-    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
-    both = left.join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-    return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
-
-
-def links(nodes: DataFrame, docs: DataFrame, firsts: DataFrame, doc_id: str = "doc_id", text: str = "text", direct: int = DIRECT) -> DataFrame:
-    """u, v: verified links, v before u in the order of (doc_id, nulls last, node).
-
-    ``nodes``: node, doc_id (the smallest), n, bands.
-    """
-    # rank: nulls last, then id, then node
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"), F.col("n").alias("n"))
-    rows = nodes.select(rank.alias("r"), F.posexplode("bands").alias("at", "key"))
-    found = None
-    for level in range(LEVELS + 1):
-        group = Window.partitionBy("key")
-        sized = rows.withColumns({"size": F.count("*").over(group), "low": F.min("r").over(group)}).where("size > 1")
-        sized = common.materialize(sized, f"near-rows-{level}")
-        last = level == LEVELS
-        few = sized if last else sized.where(F.col("size") <= direct)
-        many = sized.where(F.col("size") > direct)
-        close = few.select("key", "r").join(few.select("key", F.col("r").alias("low")), "key").where("low < r").select("r", "low")
-        pairs = close if last else close.union(many.where("low <> r").select("r", "low"))
-        near = 5 * F.least("r.n", "low.n") >= 4 * F.greatest("r.n", "low.n")  # no other pair can have a similarity of 0.8
-        pairs = common.materialize(pairs.where(near).select(F.col("r.node").alias("u"), F.col("low.node").alias("v")).distinct(), f"near-pairs-{level}")
-        got = common.materialize(verified(pairs, docs, firsts, doc_id, text), f"near-links-{level}")
-        common.discard(pairs)
-        found = got if found is None else found.union(got)
-        if last or many.isEmpty():
-            return found
-        # the smallest of a band was compared with all of it
-        left = many.where("low <> r").select("key", "at", "r", F.col("r.node").alias("node"))
-        left = left.join(found.select(F.col("u").alias("node")).distinct(), "node", "left_anti")
-        left = common.materialize(left, f"near-left-{level}")
-        deeper = left.join(nodes.select("node", "bands"), "node").select("r", F.col("at").alias("before"), F.col("key").alias("above"), F.posexplode("bands").alias("at", "band"))
-        rows = deeper.where("at > before").select("r", "at", F.xxhash64("above", "band").alias("key"))
-    raise AssertionError("unreachable")

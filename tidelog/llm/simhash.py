@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, graph, minhash
+from . import common, graph, near
 
 SEED = 42
 MAX_BITS = 3
@@ -200,21 +200,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return common.hot_join(fps, by_fp, "fp", "n", F.coalesce("doc_id", F.lit(0))).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", direct: int = minhash.DIRECT) -> DataFrame:
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", direct: int = near.DIRECT) -> DataFrame:
     """node, doc_id, root: every distinct text with its smallest id and the node whose group it is in.
 
     Groups are the connected components of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more.
     """
-    rows = common.materialize(minhash.signatures(docs, doc_id, text), "near-signatures")
-    nodes = common.materialize(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-nodes")
+    rows = common.materialize(near.fingerprints(docs, doc_id, text), "near-fingerprints")
+    nodes = common.materialize(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("fp").alias("fp")), "near-nodes")
     common.discard(rows)
-    firsts = nodes.select("node", "doc_id")
-    roots = graph.components(minhash.links(nodes, docs, firsts, doc_id, text, direct))
-    named = firsts.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
-    return common.materialize(named.select("node", "doc_id", F.coalesce("root", "node").alias("root")), "near-named")
+    roots = graph.components(near.links(nodes, docs, doc_id, text, direct))
+    named = nodes.select("node", "doc_id").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
+    return common.materialize(named.select("node", "doc_id", F.coalesce("root", "node").alias("root")), "near-groups")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", direct: int = minhash.DIRECT) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", direct: int = near.DIRECT) -> DataFrame:
     """One document of each group of near copies (the smallest id, of several texts with it one), columns unchanged.
 
     Every group keeps exactly one row, whatever its ids; null ids come last.
@@ -225,5 +224,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", direct
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))).alias("m"))
     # the texts are dealt out once, by text and id, for the join and for repeated rows
     kept = first.select(F.col("m.node").alias(key), F.coalesce("m.id", none).alias(part))
-    own = docs.withColumns({key: minhash.node_of(common.text_column(docs, text)), part: F.coalesce(common.long_column(docs, doc_id), none)})
+    own = docs.withColumns({key: near.node_of(common.text_column(docs, text)), part: F.coalesce(common.long_column(docs, doc_id), none)})
     return own.join(kept, [key, part], "left_semi").dropDuplicates([key, part]).select(*[F.col(f"`{c}`") for c in docs.columns])
