@@ -62,3 +62,14 @@ def test_a_crowded_group_keeps_links_between_larger_ids(spark):
     assert all(jaccard(c, base) >= 0.8 for c in copies)
     rows = [(0, " ".join(base))] + [(1 + k, " ".join(c)) for k, c in enumerate(copies)] + [(99, " ".join(far))]
     assert [r["doc_id"] for r in rows_of(simhash.keep_one(table(spark, rows), direct=4))] == [0]
+
+
+def test_links_grow_with_the_group_not_its_square(spark):
+    """Near copies of one text, below 0.8 among each other: each of 4 tasks writes one link a text at most, not one a pair."""
+    rng = random.Random(12)
+    base = words(rng, 200)
+    for n in (60, 180):
+        rows = [(k, " ".join(edited(base, set(rng.sample(range(0, 200, 10), 4)), f"c{k}x"))) for k in range(n)]
+        nodes = near.fingerprints(table(spark, rows), "doc_id", "text").selectExpr("node AS label", "fp")
+        links = near.candidates(nodes, 0, near.SEGMENTS, 4)
+        assert n - 1 <= links.count() <= 4 * (n - 1)
