@@ -73,3 +73,43 @@ def test_links_grow_with_the_group_not_its_square(spark):
         nodes = near.fingerprints(table(spark, rows), "doc_id", "text").selectExpr("node AS label", "fp")
         links = near.candidates(nodes, 0, near.SEGMENTS, 4)
         assert n - 1 <= links.count() <= 4 * (n - 1)
+
+
+def test_a_text_is_shuffled_twice_a_segment_and_meets_all_that_share_a_variant():
+    """Fingerprints whose first segments differ in one run, in one half or in both; runs of rows go over the batches."""
+    rng = np.random.default_rng(7)
+    begin, end, ends = 3, 5, 0
+    fps = []
+    for _ in range(40):
+        base = rng.integers(0, 256, 8 * (near.CHECK + near.SEGMENTS * near.BYTES // 8), np.uint8)
+        for _ in range(6):
+            parts = rng.integers(0, 256, len(base), np.uint8)
+            parts[: 8 * near.CHECK] = base[: 8 * near.CHECK]
+            for segment in (3, 4):
+                places = slice(8 * near.CHECK + near.BYTES * segment, 8 * near.CHECK + near.BYTES * (segment + 1))
+                parts[places] = base[places] ^ (rng.integers(0, 16, 3, np.uint8) << rng.choice([0, 4], 3).astype(np.uint8)) * rng.integers(0, 2, 3, np.uint8)
+            fps.append(parts.tobytes())
+    nodes = pa.table({"label": pa.array(range(len(fps)), pa.int64()), "fp": pa.array(fps, pa.binary())})
+    rows = pa.Table.from_batches(list(near.keyed(iter(nodes.to_batches()), begin, end)))
+    assert len(rows) == 2 * (end - begin) * len(fps)
+    met = near.linked(near.opened(iter(rows.sort_by("key").to_batches(max_chunksize=3))))
+    got = [(u, v) for b in met for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist())]
+    wanted = []
+    for u in range(len(fps)):
+        for v in range(u):
+            apart = [int.from_bytes(x, "big") for x in (bytes(a ^ b for a, b in zip(fps[u][24 + 3 * s : 27 + 3 * s], fps[v][24 + 3 * s : 27 + 3 * s])) for s in (3, 4))]
+            shared = any(x & ~(15 << 4 * run) == 0 for x in apart for run in range(near.RUNS))
+            ends += not shared
+            if shared and fps[u][:24] == fps[v][:24]:
+                wanted.append((u, v))
+    label = lambda links: near.roots(*np.array(links).T, len(fps)).tolist()
+    assert wanted and ends and label(got) == label(wanted)
+
+
+def test_no_table_but_the_groups_is_left_of_the_nodes(spark):
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")) / "tidelog"
+    before = set(shared.glob("near-nodes-*"))
+    assert simhash.near_groups(table(spark, [(1, "a b c"), (2, "a b c"), (3, "d")])).count() == 2
+    assert set(shared.glob("near-nodes-*")) == before

@@ -8,8 +8,9 @@ word of 64 bits mixes the hashes anew.  Three words are for the comparison, the
 
 Candidate search: every segment is indexed with each of its six runs of 4 bits deleted in turn, and two
 segments whose differences are all in one run share the variant that lacks it: a pair at 0.8 shares none of the
-variants with a chance under 2e-4, one at 0.85 under 2e-6.  An equality shuffle on the variants brings the
-candidates together, and those that differ in at most 64 of the 192 bits of the comparison are linked: a pair at 0.8
+variants with a chance under 2e-4, one at 0.85 under 2e-6.  Variants that lack a run of the same half of a segment have the other half
+in common, so a text is shuffled once for each half, by that half, and its variants are formed where it arrives.  Texts
+with equal variants are candidates, and those that differ in at most 64 of the 192 bits of the comparison are linked: a pair at 0.8
 differs in 29 and exceeds 64 with a chance under 1e-6 (texts of four shingles in 36, under 1e-5), unrelated texts differ in
 96 and pass with a chance of 3e-6.  A task emits a spanning forest of its links, never all pairs.  The first few segments are
 searched before the others, which then link only what is not yet connected.
@@ -34,6 +35,8 @@ from .minhash import node_of, shingles
 
 #: Words of 64 bits that are compared; bytes of a segment, and the runs of 4 bits of which one is deleted.
 CHECK, BYTES, RUNS = 3, 3, 6
+#: Bits of half a segment.
+HALF = 4 * BYTES
 SEGMENTS = 64
 #: Up to so many shingles a text has twice the segments.
 SHORT = 20
@@ -47,6 +50,8 @@ DIRECT = 1024
 EACH, COLUMNS = 512, 2048
 #: Shingles that are counted at once, in a byte.
 PIECE = 255
+#: What is shuffled: a key, the text's label, and the words of the comparison.
+ROW = ["key", "label", "a", "b", "c"]
 
 
 def wide(hashes: np.ndarray) -> bytes:
@@ -75,19 +80,31 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(common.lean(compute), "node long, doc_id long, n long, fp binary")
 
 
-def variants(parts: np.ndarray, begin: int, end: int) -> np.ndarray:
-    """Rows of fingerprint bytes -> rows of keys: segments ``begin`` to ``end`` (and those of short texts) with each run deleted."""
+def routes(parts: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Rows of fingerprint bytes -> two keys of 32 bits for each of the segments ``begin`` to ``end`` (and those of short texts).
+
+    A key is the segment's number and which half stays, that half, and the half of which a run is deleted.
+    """
     which = np.concatenate([np.arange(at + begin, at + end) for at in range(0, parts.shape[1] // BYTES, SEGMENTS)]).astype(np.uint64)
     segment = parts.reshape(len(parts), -1, BYTES)[:, which].astype(np.uint64) @ np.array([1 << 16, 1 << 8, 1], np.uint64)
-    run = np.arange(RUNS, dtype=np.uint64)
-    fixed = np.uint64(0xFFFFFF) & ~(np.uint64(15) << (4 * run).astype(np.uint64))
-    tag = which[:, None] << np.uint64(32) | run << np.uint64(24)
-    return common.mix((segment[:, :, None] & fixed) | tag).reshape(len(parts), -1)
+    half, low = np.uint64(HALF), np.uint64((1 << HALF) - 1)
+    turned = (segment & low) << half | segment >> half
+    tag = which << np.uint64(2 * HALF + 1)
+    return np.stack([tag | segment, tag | np.uint64(1 << 2 * HALF) | turned], 2).reshape(len(parts), -1)
+
+
+def hidden(keys: np.ndarray) -> list[np.ndarray]:
+    """Keys of :func:`routes` -> for each run of the half that does not stay, the keys of the variants that lack it."""
+    return [keys & ~np.uint64(15 << 4 * run) | np.uint64(run << 32) for run in range(RUNS // 2)]
+
+
+def variants(parts: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Rows of fingerprint bytes -> rows of keys: segments ``begin`` to ``end`` (and those of short texts) with each run deleted."""
+    return np.concatenate(hidden(routes(parts, begin, end)), 1)
 
 
 def keyed(stream, begin: int, end: int):
-    """label, fp -> key, label and the words of the comparison, for every variant."""
-    schema = pa.schema([("key", pa.int64()), ("label", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
+    """label, fp -> key, label and the words of the comparison, for both halves of every segment."""
     for batch in stream:
         label = batch["label"].to_numpy(zero_copy_only=False)
         fps = batch["fp"].to_pylist()
@@ -97,10 +114,10 @@ def keyed(stream, begin: int, end: int):
             for at in range(0, len(own), 512):
                 rows = own[at : at + 512]
                 raw = np.frombuffer(b"".join([fps[k] for k in rows.tolist()]), np.uint8).reshape(len(rows), width)
-                keys = variants(raw[:, 8 * CHECK :], begin, end)
+                keys = routes(raw[:, 8 * CHECK :], begin, end)
                 check = np.ascontiguousarray(raw[:, : 8 * CHECK]).view(np.int64)
                 columns = [keys.view(np.int64).ravel()] + [np.repeat(c, keys.shape[1]) for c in (label[rows], *check.T)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=ROW)
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -160,42 +177,51 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[some], names[root[some]]
 
 
-def linked(stream):
-    """Rows sorted by key -> u, v: a forest of all links of the task."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def whole_runs(stream, bits: int = 0):
+    """Rows sorted by key -> arrays of rows with all that have one key, but for its last ``bits`` bits."""
     held: list[np.ndarray] = []
-    u = v = np.zeros(0, np.int64)
-
-    def settle(rows):
-        nonlocal u, v
-        a, b = run_links(rows[:, 0], rows[:, 1], rows[:, 2:].view(np.uint64))
-        other = a != b
-        if other.any():
-            u, v = forest(np.concatenate([u, a[other]]), np.concatenate([v, b[other]]))
-
     for batch in stream:
         if not len(batch):
             continue
-        rows = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("key", "label", "a", "b", "c")], 1)
-        if held and held[0][0, 0] == rows[-1, 0]:  # one run fills the batch and may go on
+        rows = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ROW], 1)
+        if held and held[0][0, 0] >> bits == rows[-1, 0] >> bits:  # one run fills the batch and may go on
             held.append(rows)
             continue
         rows = np.concatenate([*held, rows])
-        other = rows[::-1, 0] != rows[-1, 0]
+        other = rows[::-1, 0] >> bits != rows[-1, 0] >> bits
         last = len(rows) - int(other.argmax()) if other.any() else 0
         if last:
-            settle(rows[:last])
+            yield rows[:last]
         held = [rows[last:]]
     if held:
-        settle(np.concatenate(held))
+        yield np.concatenate(held)
+
+
+def opened(stream):
+    """Rows sorted by key -> each row under its variants' keys, equal ones next to each other."""
+    for rows in whole_runs(stream, HALF):
+        for key in hidden(rows[:, 0].view(np.uint64)):
+            order = np.argsort(key, kind="stable")
+            yield pa.RecordBatch.from_arrays([pa.array(key[order].view(np.int64)), *[pa.array(c) for c in rows[order, 1:].T]], names=ROW)
+
+
+def linked(stream):
+    """Rows with equal keys next to each other -> u, v: a forest of all links of the task."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    u = v = np.zeros(0, np.int64)
+    for rows in whole_runs(stream):
+        a, b = run_links(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64))
+        other = a != b
+        if other.any():
+            u, v = forest(np.concatenate([u, a[other]]), np.concatenate([v, b[other]]))
     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
 
 
 def candidates(nodes: DataFrame, begin: int, end: int, parts: int) -> DataFrame:
     """u, v: links between the labels of texts that share a variant of the segments and are near by the words of the comparison."""
     keys = nodes.select("label", "fp").mapInArrow(common.lean(lambda s: keyed(s, begin, end)), "key long, label long, a long, b long, c long")
-    runs = keys.repartition(parts, "key").sortWithinPartitions("key")
-    return common.materialize(runs.mapInArrow(common.lean(linked), "u long, v long").distinct(), f"near-candidates-{begin}")
+    runs = keys.repartition(parts, F.shiftright("key", HALF)).sortWithinPartitions("key")
+    return common.materialize(runs.mapInArrow(common.lean(lambda s: linked(opened(s))), "u long, v long").distinct(), f"near-candidates-{begin}")
 
 
 def clusters(nodes: DataFrame) -> DataFrame:

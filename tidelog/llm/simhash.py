@@ -210,7 +210,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dir
     common.discard(rows)
     roots = graph.components(near.links(nodes, docs, doc_id, text, direct))
     named = nodes.select("node", "doc_id").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
-    return common.materialize(named.select("node", "doc_id", F.coalesce("root", "node").alias("root")), "near-groups")
+    groups = common.materialize(named.select("node", "doc_id", F.coalesce("root", "node").alias("root")), "near-groups")
+    common.discard(nodes)
+    return groups
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", direct: int = near.DIRECT) -> DataFrame:
