@@ -27,3 +27,13 @@ def test_hot_join(spark):
             got = common.hot_join(rows, side, "key", "n", F.coalesce("id", F.lit(0)), part, how)
             want = rows.join(side.drop("n"), "key", how)
             assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_a_sieve_keeps_all_that_is_wanted_and_little_else(spark):
+    ids = spark.range(20000).withColumn("hash", F.xxhash64("id"))
+    wanted = ids.where("id % 10 = 0")
+    for most, others in ((26, 0.07), (10, 1)):  # a full map passes everything
+        kept = ids.where(common.sieve(wanted.select("hash"), most)(F.col("hash")))
+        assert kept.where("id % 10 = 0").count() == 2000
+        assert kept.count() - 2000 <= others * 18000
+    assert ids.where(common.sieve(wanted.where("id < 0").select("hash"))(F.col("hash"))).count() == 0

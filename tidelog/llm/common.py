@@ -136,6 +136,29 @@ def scaled(df: DataFrame, each: int = 16 << 20) -> int:
     return max(2 * partitions(df.sparkSession), -(-size // each))
 
 
+def sieve(hashes: DataFrame, most: int = 26):
+    """A filter for a column of uniform 64-bit hashes: keeps every row whose hash is in the one column of ``hashes``, and few others.
+
+    A map of 16 to 32 bits a hash, so that a join after it shuffles little else; 2 ** ``most`` bits at most, more hashes let more others pass.
+    """
+    (name,) = hashes.columns
+    bits = min(most, max(16, (16 * hashes.count()).bit_length()))
+    place = hashes.select(F.shiftrightunsigned(name, 64 - bits).alias("place"))
+    words = place.groupBy(F.shiftright("place", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("word"))
+    with released_shuffles(hashes.sparkSession):
+        words = words.toArrow()
+    flat = np.zeros(1 << bits - 6, np.int64)
+    flat[words["at"].to_numpy()] = words["word"].to_numpy()
+    shared = Shared(hashes.sparkSession, flat)
+
+    @F.arrow_udf("boolean")
+    def may_be(values: pa.Array) -> pa.Array:
+        at = values.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+        return pa.array(shared.load().view(np.uint64)[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1)
+
+    return may_be
+
+
 def text_column(df: DataFrame, text: str):
     return F.col(f"`{text}`").cast("string")
 

@@ -304,6 +304,8 @@ def links(nodes: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str =
     tiles = block.select("root", "node", F.explode(F.coalesce(pair, F.array(F.lit(0).cast("long")))).alias("tile"))
     body = common.text_column(docs, text)
     rows = docs.select(node_of(body).alias("node"), F.coalesce(common.long_column(docs, doc_id), none).alias("id"), body.alias("text"))
+    wanted_text = common.sieve(wanted.select(F.xxhash64("node", "id").alias("hash")))
+    rows = rows.where(wanted_text(F.xxhash64("node", "id")))
     texts = rows.join(wanted.select("node", "id"), ["node", "id"], "left_semi").dropDuplicates(["node", "id"]).select("node", "text")
     sets = common.materialize(texts.mapInArrow(common.lean(compute), "node long, s array<long>"), "near-sets")
     dealt = tiles.join(sets, "node").repartition(common.scaled(sets), "root", "tile").sortWithinPartitions("root", "tile")
