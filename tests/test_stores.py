@@ -405,3 +405,12 @@ def test_log_files(spark):
         exchange.read_logs(one, header=b"other").collect()
     nothing = spark.createDataFrame([(None, None, None)], "d binary, i map<string,string>, t map<string,long>")
     assert bytes(nothing.select(exchange.serialized(F.col("d"), F.col("i"), F.col("t"))).first()[0]) == b"\x02\0\0\0\0\0"
+
+
+def test_record_sizes_at_the_borders_of_varints(spark):
+    """A record of one entry is as long as its older offset's varint: 4 bytes from 2**21 on."""
+    borders = {2**7 - 1: 1, 2**7: 2, 2**14 - 1: 2, 2**14: 3, 2**21 - 1: 3, 2**21: 4, 2**28 - 1: 4, 2**28: 5}
+    rows = spark.createDataFrame([(at, "tide", {"type": "ebb"}, {"type:ebb": at}) for at in borders], "at long, d string, i map<string,string>, t map<string,long>")
+    for r in rows.select("at", exchange.serialized(F.col("d"), F.col("i"), F.col("t")).alias("r")).collect():
+        assert len(r["r"]) == 4 + 1 + 4 + 1 + 1 + 8 + borders[r["at"]]
+        assert codec.deserialize(bytes(r["r"])) == (b"tide", {"type:ebb": r["at"]})
