@@ -382,6 +382,58 @@ def test_archive_files(spark, tmp_path):
     assert exchange.read_archives(spark.createDataFrame([("p", None)], "path string, content binary")).count() == 0
 
 
+def test_archive_parts_are_the_plain_files(spark, tmp_path):
+    """Files of several spaces in parts are byte for byte what the plain functions make of all rows, and are read as they read them."""
+    rng = random.Random(8)
+    rows = harbour(400) + [("Bergen", None, rng.choice([5, rng.randrange(-9, 99)]), 1000 + k, f"{rng.random()} " * rng.choice([1, 9]), {"any": "", "n": str(k % 7), "of": f"é{k}"}) for k in range(9000)]
+    rows += [("Bodø", "bare", 3, 20_000, "no index", None), ("Bodø", "bare", 3, 20_001, "w" * 300_000, {"any": ""}), ("Moss", "x", -1, None, "last", {"any": ""}), ("Moss", "x", -1, 7, "first", {"any": ""})]
+    df = spark.createDataFrame(rows, EVENT).withColumn("path", F.when(F.col("space") == "Moss", "b").otherwise("a"))
+    stored = str(tmp_path / "parts")
+    exchange.archive_parts(df.repartition(7), "path").write.parquet(stored)
+    parts = spark.read.parquet(stored)
+    plain = {}
+    for path, of in (("a", lambda s: s != "Moss"), ("b", lambda s: s == "Moss")):
+        spaces = defaultdict(list)
+        for space, grouping, ts, _, text, indexes in sorted((r for r in rows if of(r[0])), key=lambda r: (r[3] is None, r[3])):
+            spaces[space].append((grouping or "", ts, text.encode(), indexes or {}))
+        plain[path] = codec.archive_bytes(spaces)
+        own = [bytes(r["content"]) for r in parts.where(F.col("path") == path).orderBy("part").collect()]
+        assert b"".join(own) == plain[path] and all(len(c) == exchange.PART for c in own[:-1])
+    assert len(plain["a"]) > 5 * exchange.PART
+    assert {r["path"]: bytes(r["content"]) for r in exchange.archive_files(df, "path").collect()} == plain
+    found = [(r["path"], r["space"], r["grouping"], r["pos"], r["ts"], bytes(r["data"]), r["keys"]) for r in exchange.read_archive_parts(parts).collect()]
+    assert sorted(found) == sorted((path, *event) for path, raw in plain.items() for event in codec.read_archive(raw))
+    for part in (0, 2):
+        with pytest.raises(Exception, match="missing|fit"):
+            exchange.read_archive_parts(parts.where(F.col("part") != part)).collect()
+    with pytest.raises(Exception, match="needs data"):
+        exchange.archive_parts(df.withColumn("data", F.lit("")), "path").collect()
+    assert exchange.read_archive_parts(exchange.archive_parts(df.limit(0), "path")).count() == 0
+
+
+def test_archive_sections_are_read_piece_by_piece():
+    """Events come before the rest of their section is read, and of a file only the parts with tables are held."""
+    rng = random.Random(9)
+    raw = codec.archive_bytes({"Bergen": [("", k, rng.randbytes(50), {"n": str(k % 9)}) for k in range(5000)]})
+    size, seen = 4096, []
+
+    def part(k):
+        seen.append(k)
+        return k * size, raw[k * size : (k + 1) * size]
+
+    last = len(raw) // size
+    sections = {key: (base, at, n) for _, key, base, at, n in codec.archive_sections(part(k) for k in range(last, -1, -1))}
+    assert seen == list(range(last, -1, -1)) and len(sections) == 10
+    base, at, n = sections[b"g"]
+    pulled = []
+    pieces = (pulled.append(k) or raw[k : min(k + 100, base + at + n)] for k in range(base + at, base + at + n, 100))
+    events = codec.section_events(pieces, at)
+    assert next(events)[2:4] == (1, 4999) and len(pulled) < 90
+    assert [e[2] for e in events] == list(range(2, 5001))
+    with pytest.raises(FormatError):
+        list(codec.section_events([raw[base + at : base + at + n - 1]], at))
+
+
 def test_log_files(spark):
     rows = tides(9)
     log = log_rows(spark, rows).withColumn("stream", F.lit("s"))

@@ -497,10 +497,10 @@ def block_seek(spark, sf_dir):
 
 @query(f"SELECT space AS path, space, ts, data, 'user:' || usr AS keys, row_number() OVER (PARTITION BY space ORDER BY ts DESC, seq) AS pos FROM ({TYPES})")
 def exchange_archive(spark, sf_dir):
-    """One archive file of each event type, and what is read back from the files."""
+    """One archive file of each event type, in parts, and what is read back from the files."""
     path = scratch(spark, "archive-files")
-    exchange.archive_files(tables.events_by_type(spark, sf_dir).withColumn("path", F.col("space")), "path").write.parquet(path)
-    found = exchange.read_archives(spark.read.parquet(path))
+    exchange.archive_parts(tables.events_by_type(spark, sf_dir).withColumn("path", F.col("space")), "path").write.parquet(path)
+    found = exchange.read_archive_parts(spark.read.parquet(path))
     return found.select("path", "space", "ts", F.col("data").cast("string").alias("data"), F.array_join("keys", ",").alias("keys"), "pos")
 
 
