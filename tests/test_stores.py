@@ -459,6 +459,19 @@ def test_log_files(spark):
     assert bytes(nothing.select(exchange.serialized(F.col("d"), F.col("i"), F.col("t"))).first()[0]) == b"\x02\0\0\0\0\0"
 
 
+def test_files_are_made_from_streams_of_rows(spark):
+    """No group of rows is handed to Python as a whole; several logs in one task stay apart."""
+    rows = [(f"s{k % 3}", None if k == 5 else k, f"tide {k}", {"moon": str(k % 2)}) for k in range(60)]
+    log = spark.createDataFrame(rows, "stream string, seq long, data string, indexes map<string,string>").coalesce(1)
+    files_ = exchange.log_files(log)
+    for made in (files_, exchange.archive_parts(log.withColumn("space", F.lit("a")).withColumn("grouping", F.lit("")).withColumn("ts", F.lit(1)), "stream")):
+        assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+    for r in files_.collect():
+        own = sorted((x for x in rows if x[0] == r["path"]), key=lambda x: (x[1] is None, x[1]))
+        assert bytes(r["content"]) == codec.log_bytes((d.encode(), i) for _, _, d, i in own)
+    assert files_.count() == 3
+
+
 def test_record_sizes_at_the_borders_of_varints(spark):
     """A record of one entry is as long as its older offset's varint: 4 bytes from 2**21 on."""
     borders = {2**7 - 1: 1, 2**7: 2, 2**14 - 1: 2, 2**14: 3, 2**21 - 1: 3, 2**21: 4, 2**28 - 1: 4, 2**28: 5}

@@ -234,13 +234,16 @@ def archive_parts(events: DataFrame, path: str) -> DataFrame:
 def log_files(log: DataFrame, path: str = "stream", seal: bool = True, header: bytes = codec.LOG_HEADER, footer: bytes = codec.LOG_FOOTER) -> DataFrame:
     """(path, content): one log file of the events (seq, data, indexes) of each value of the column ``path``."""
 
-    def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by("seq")
-        events = ((row["data"] or b"", dict(row["indexes"] or [])) for row in table.to_pylist())
-        return pa.table({"path": pa.array([table["path"][0].as_py()]), "content": pa.array([codec.log_bytes(events, seal, header, footer)], pa.binary())})
+    def built(stream):
+        for (name,), own in groupby(_rows(stream), key=_same(0)):
+            events = ((data or b"", dict(indexes or [])) for _, _, data, indexes in own)
+            yield name, codec.log_bytes(events, seal, header, footer)
+
+    def build(stream):
+        yield from _in_batches(built(stream), pa.schema([("path", pa.string()), ("content", pa.binary())]))
 
     rows = log.select(F.col(f"`{path}`").cast("string").alias("path"), "seq", F.col("data").cast("binary").alias("data"), "indexes")
-    return rows.groupBy("path").applyInArrow(build, "path string, content binary")
+    return rows.repartition("path").sortWithinPartitions("path", F.asc_nulls_last("seq")).mapInArrow(build, "path string, content binary")
 
 
 def serialized(data: Column, indexes: Column, tails: Column) -> Column:
