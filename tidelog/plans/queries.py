@@ -499,7 +499,8 @@ def block_seek(spark, sf_dir):
 def exchange_archive(spark, sf_dir):
     """One archive file of each event type, in parts, and what is read back from the files."""
     path = scratch(spark, "archive-files")
-    exchange.archive_parts(tables.events_by_type(spark, sf_dir).withColumn("path", F.col("space")), "path").write.parquet(path)
+    with files.released_shuffles(spark):
+        exchange.archive_parts(tables.events_by_type(spark, sf_dir).withColumn("path", F.col("space")), "path").write.parquet(path)
     found = exchange.read_archive_parts(spark.read.parquet(path))
     return found.select("path", "space", "ts", F.col("data").cast("string").alias("data"), F.array_join("keys", ",").alias("keys"), "pos")
 

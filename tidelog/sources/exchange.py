@@ -141,7 +141,8 @@ def read_archive_parts(parts: DataFrame) -> DataFrame:
     pieces = both.select("path", "part", "content", "space", "key", "base", "at", "size").mapInArrow(cut, PIECES)
     rows = pieces.repartition("path", "space", "key").sortWithinPartitions("path", "space", "key", "part").mapInArrow(decode, DECODED)
     event = F.first(F.when(F.col("pos").isNotNull(), F.struct("grouping", "pos", "ts", "data")), ignorenulls=True)
-    found = rows.groupBy("path", "space", "block", "byte").agg(event.alias("e"), F.sort_array(F.collect_list("key")).alias("keys"))
+    met = rows.repartition("path", "space", "block", "byte")  # rows are smaller than what they would be aggregated to before a shuffle
+    found = met.groupBy("path", "space", "block", "byte").agg(event.alias("e"), F.sort_array(F.collect_list("key")).alias("keys"))
     return found.where("e is not null").select("path", "space", "e.grouping", "e.pos", "e.ts", "e.data", "keys")
 
 
