@@ -6,7 +6,8 @@ parts (path, part, content) of ``PART`` bytes, the last one shorter: Python hold
 Spark sorts what lies between.  Events of a space, entries of an index key and a file's parts are passed on by one task each.
 
 Modes: ``FAILFAST`` raises on a torn last record, ``DROP_TAIL`` leaves it out; a wrong header or footer is always an error.
-Nulls: a null content gives no rows; null groupings are written as ``''``, null payloads as empty ones, which in archives are an error.
+Nulls: a null content gives no rows; null groupings are written as ``''``, null payloads as empty ones, which in archives are an error;
+in archives an index entry without a value has no key.
 """
 
 from __future__ import annotations
